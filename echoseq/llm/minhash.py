@@ -26,10 +26,10 @@ from .linking import link_classes
 
 U64 = np.uint64
 SHINGLE, PERCENT = 5, 85
-#: 25 bands of 5 coordinates: a pair at the threshold of 0.85 is missed with probability 4e-7, one at 0.9 with 2e-10.
-BINS, BANDS, ROWS = 128, 25, 5
-#: Six standard deviations of a 128-coordinate estimate below 0.85.
-ESTIMATE = 0.66
+#: 36 bands of 7 coordinates: a pair at the threshold of 0.85 is missed with probability 9e-7, one at 0.9 with 7e-11.
+BINS, BANDS, ROWS = 256, 36, 7
+#: Of 256 four-bit coordinates a pair at 0.85 agrees in 220; 192 are five standard deviations less.
+AGREE = 192
 SEED, ADD = w.seeds(2 * BINS, 101) | U64(1), w.seeds(2 * BINS, 202)
 KEY, BAND = w.seeds(ROWS, 303) | U64(1), w.seeds(BANDS, 404)
 FULL = U64(w.MASK)
@@ -86,8 +86,12 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
         return w.mix(x + BAND).view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, digest binary, sketch binary, keys array<long>"
-SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
+SIGNED = "doc_id long, n_shingles long, digest binary, sketch array<long>, keys array<long>"
+SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+
+
+def rows_of(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
 
 
 def sign(ids: pa.Array, values: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
@@ -95,9 +99,9 @@ def sign(ids: pa.Array, values: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch
     keys = band_keys(sk)
     raw, ends = values.tobytes(), np.cumsum(sizes) * 8
     digest = [hashlib.blake2b(raw[e - 8 * s : e], digest_size=16).digest() if s else None for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-    low = sk.astype(np.uint16)
+    low = ((sk & U64(15)).reshape(len(sk), -1, 16) << (U64(4) * np.arange(16, dtype=U64))).sum(2, dtype=U64).view(np.int64)
     return pa.RecordBatch.from_arrays(
-        [ids.cast(pa.int64()), pa.array(sizes), pa.array(digest, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary()), pa.ListArray.from_arrays(np.arange(0, BANDS * len(sizes) + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))],
+        [ids.cast(pa.int64()), pa.array(sizes), pa.array(digest, pa.binary()), rows_of(low), rows_of(keys)],
         schema=SIGNED_ARROW,
     )
 
@@ -128,12 +132,12 @@ def similar_sets(x: bytes, y: bytes, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def classes(signed: DataFrame, payloads, accept, ratio: int, estimate: float, scratch: Scratch) -> DataFrame:
+def classes(signed: DataFrame, payloads, accept, ratio: int, agree: int, scratch: Scratch) -> DataFrame:
     """(doc_id, component_id) of `signed` (row, doc_id, digest, n, sketch, keys; a written table); equal digests count as one node."""
     with_id = signed.where("doc_id is not null and digest is not null")
     first = scratch.table(with_id.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("row", "doc_id").alias("row")), "first")
     nodes = with_id.join(first.select("row"), "row", "left_semi").select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "sketch", "keys")
-    labels = link_classes(scratch.table(nodes, "nodes"), payloads, accept, ratio, estimate, scratch)
+    labels = link_classes(scratch.table(nodes, "nodes"), payloads, accept, ratio, agree, scratch)
     member = first.drop("row").join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("label", "id").alias("component_id"))
     return signed.select("doc_id", "digest").join(member, "digest", "left")
 
@@ -148,7 +152,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         return docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(set_payloads, "id long, payload binary")
 
     input_ = signed.select("row", "doc_id", "digest", F.col("n_shingles").alias("n"), "sketch", "keys")
-    found = scratch.table(classes(input_, payloads, similar_sets, PERCENT, ESTIMATE, scratch).select("doc_id", "component_id").where("doc_id <> component_id").distinct(), "moved")
+    found = scratch.table(classes(input_, payloads, similar_sets, PERCENT, AGREE, scratch).select("doc_id", "component_id").where("doc_id <> component_id").distinct(), "moved")
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
