@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
 STEP_BYTES = 1 << 21
+#: Shuffle files of a written table go when it is written, not when the driver collects its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -47,7 +49,12 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back: lineage ends here, and a lost executor costs nothing before it."""
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
+        conf, was = self.spark.conf, self.spark.conf.get(CLEAN_UP, None)
+        conf.set(CLEAN_UP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.set(CLEAN_UP, was) if was is not None else conf.unset(CLEAN_UP)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
