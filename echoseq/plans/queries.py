@@ -1,3 +1,407 @@
-"""Driver queries of the reference's own operators."""
-QUERIES = {}
-ORACLE = {}
+"""Driver queries of the matching engine's operators over the synthetic tables, and SQL for each that SQL can express."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import hashing as H
+from ..functions import paths as P
+from ..operators import hamming_join as J
+from ..operators import match as M
+from ..operators import organise as O
+from ..operators import reconcile as R
+from ..operators import tables as T
+from ..scratch import Scratch
+from ..sources import frames as S
+
+QUERIES, ORACLE = {}, {}
+ROOT = "/lib/duplicates"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    """Document frames as the written table that matching reads several times."""
+    return Scratch(spark, "frames").table(S.doc_frames(read(spark, d, "documents")), "doc_frames")
+
+
+def table(spark: SparkSession):
+    return Scratch(spark, "groups").table
+
+
+# -- fixture tables: videos, comparisons and listings derived from documents ------------------------------------
+
+FIXTURE_SQL = f"""
+vid AS (SELECT doc_id AS id, '/lib/' || source || '/v' || CAST(doc_id AS VARCHAR) || '.MP4' AS path, CAST(n_chars AS DOUBLE) AS duration,
+        CASE WHEN doc_id % 5 <> 0 THEN 1.7e9 + doc_id END AS fingerprinted_at,
+        CASE WHEN doc_id % 3 = 0 THEN '{ROOT}/' || CAST(doc_id // 9 AS VARCHAR) || '/v' || CAST(doc_id AS VARCHAR) || '.MP4' END AS moved_to FROM documents),
+listing AS (SELECT path FROM vid WHERE id % 7 <> 0 AND moved_to IS NULL UNION SELECT moved_to FROM vid WHERE id % 2 = 0 AND moved_to IS NOT NULL)"""
+
+
+def videos(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    name = F.concat(F.lit("/v"), i.cast("string"), F.lit(".MP4"))
+    return read(spark, d, "documents").select(
+        i.alias("id"), F.concat(F.lit("/lib/"), F.col("source"), name).alias("path"), F.col("n_chars").cast("double").alias("duration"),
+        F.when(i % 5 != 0, F.lit(1.7e9) + i).alias("fingerprinted_at"),
+        F.when(i % 3 == 0, F.concat(F.lit(ROOT + "/"), F.floor(i / 9).cast("string"), name)).alias("moved_to"),
+    )
+
+
+def listing(v: DataFrame) -> DataFrame:
+    """Which of the derived files are on disk."""
+    return v.where("id % 7 <> 0 and moved_to is null").select("path").union(v.where("id % 2 = 0 and moved_to is not null").select("moved_to"))
+
+
+def made_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Matches between documents with the same first line, chained in id order: cheap graph input."""
+    f = S.line_frames(read(spark, d, "documents")).where("frame_idx = 0")
+    g = f.groupBy("h").agg(F.min("video_id").alias("a")).join(f, "h").where("a < video_id")
+    return g.select(F.col("video_id").alias("id"), F.col("a").alias("video_a_id"), F.col("video_id").alias("video_b_id"), F.lit("duplicate").alias("match_type"), F.lit(1.0).alias("confidence"), F.lit(0.0).alias("found_at"), F.when(F.col("video_id") % 11 == 0, 1).otherwise(0).alias("moved"))
+
+
+MATCHES_SQL = r"""
+fl AS (SELECT doc_id, md5(string_split(text, chr(10))[1]) AS h FROM documents WHERE text IS NOT NULL),
+mt AS (SELECT b.doc_id AS id, a.a AS video_a_id, b.doc_id AS video_b_id, CASE WHEN b.doc_id % 11 = 0 THEN 1 ELSE 0 END AS moved
+       FROM (SELECT h, min(doc_id) AS a FROM fl GROUP BY h) a JOIN fl b ON a.h = b.h AND a.a < b.doc_id)"""
+
+DOC_SQL = r"""
+wd AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM documents),
+wu AS (SELECT doc_id AS vid, (pos - 1) // 32 AS idx, CAST('0x' || substr(md5(lower(word)), 1, 16) AS UBIGINT) AS u
+       FROM (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS pos FROM wd WHERE len(ws) > 0)),
+wb AS (SELECT vid, idx, k, sum(CASE WHEN (u >> k) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM wu, range(64) t(k) GROUP BY ALL),
+fr AS (SELECT vid, CAST(idx AS BIGINT) AS idx, CAST(sum(CASE WHEN s > 0 THEN CAST(1 AS UBIGINT) << k ELSE 0 END) AS UBIGINT) AS h FROM wb GROUP BY 1, 2)"""
+
+FP_SQL = """
+hs AS (SELECT DISTINCT h FROM fr),
+hp AS (SELECT x.h AS h1, y.h AS h2 FROM hs x, hs y WHERE bit_count(CAST(CAST(x.h AS BIT) AS BIT) ^ CAST(y.h AS BIT)) <= {t}),
+fp AS (SELECT a.vid AS va, a.idx AS ia, b.vid AS vb, b.idx AS ib FROM hp JOIN fr a ON a.h = hp.h1 JOIN fr b ON b.h = hp.h2 WHERE a.vid < b.vid),
+vd AS (SELECT vid, count(*) AS n, CAST(count(*) AS DOUBLE) AS d FROM fr GROUP BY 1),
+cp AS (SELECT DISTINCT va, vb FROM fp),
+pr AS (SELECT va, vb, x.d <= y.d AS s, CASE WHEN x.d <= y.d THEN va ELSE vb END AS short_id, CASE WHEN x.d <= y.d THEN vb ELSE va END AS long_id,
+              least(x.d, y.d) AS sd, greatest(x.d, y.d) AS ld, CASE WHEN x.d <= y.d THEN x.n ELSE y.n END AS n, CASE WHEN x.d <= y.d THEN y.n ELSE x.n END AS m
+       FROM cp JOIN vd x ON x.vid = va JOIN vd y ON y.vid = vb)""".replace("bit_count(CAST(CAST(x.h AS BIT) AS BIT) ^ CAST(y.h AS BIT))", "bit_count(xor(x.h, y.h))")
+
+DG_SQL = """
+dg AS (SELECT short_id, long_id, n, sd, ld, start, count(*) AS hits FROM (
+         SELECT pr.*, CASE WHEN short_id = fp.va THEN ib - ia ELSE ia - ib END AS start FROM fp JOIN pr USING (va, vb))
+       WHERE start >= 0 AND start <= m - n AND start % {step} = 0 GROUP BY ALL),
+cf AS (SELECT short_id, long_id, sd, ld, max(hits) / any_value(n) AS confidence FROM dg GROUP BY ALL)"""
+
+TYPE_SQL = "CASE WHEN ld = 0 THEN 'duplicate' WHEN sd / ld >= 0.95 THEN 'duplicate' ELSE 'subclip' END AS match_type"
+
+
+def with_(*parts: str, recursive: bool = False, t: int = 10, step: int = 3) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",".join(p.replace("{t}", str(t)).replace("{step}", str(step)) for p in parts) + "\n"
+
+
+# -- sources and expressions -----------------------------------------------------------------------------------
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, regexp_extract(url, '\.[A-Za-z0-9]+$') AS ext FROM pages WHERE regexp_matches(lower(url), '\.html$')""")
+def q_ext_filter(spark, d):
+    u = read(spark, d, "pages")
+    return u.where(F.lower(P.extension("url")) == ".html").select("page_id", P.basename("url").alias("name"), P.extension("url").alias("ext"))
+
+
+@query(with_(FIXTURE_SQL) + "SELECT id, regexp_extract(path, '([^/]*)$', 1) AS name, regexp_extract(path, '^(.*)/', 1) AS dir FROM vid")
+def q_video_files(spark, d):
+    return videos(spark, d).where(P.is_video("path")).select("id", P.basename("path").alias("name"), P.dirname("path").alias("dir"))
+
+
+@query("SELECT page_id, substr(md5(url), 1, 16) AS phash, CAST(CASE WHEN u >= 9223372036854775808 THEN CAST(u AS HUGEINT) - 18446744073709551616 ELSE u END AS BIGINT) AS h, substr(md5(url), 1, 16) AS back FROM (SELECT page_id, url, CAST('0x' || substr(md5(url), 1, 16) AS UBIGINT) AS u FROM pages)")
+def q_hex_bigint_roundtrip(spark, d):
+    p = read(spark, d, "pages").select("page_id", F.substring(F.md5(F.col("url").cast("binary")), 1, 16).alias("phash"))
+    return p.withColumn("h", H.from_hex("phash")).withColumn("back", H.to_hex("h"))
+
+
+EMB_SQL = """
+em AS (SELECT CAST(label AS BIGINT) AS vid, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx,
+              CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS HUGEINT) << CAST(64 - i AS INTEGER) ELSE 0 END)) AS UBIGINT) AS h FROM embeddings)"""
+
+
+@query(with_(EMB_SQL) + "SELECT vid AS video_id, idx AS frame_idx, CAST(idx AS DOUBLE) AS timestamp, lower(lpad(hex(h), 16, '0')) AS phash FROM em")
+def q_emb_frames(spark, d):
+    return S.emb_frames(read(spark, d, "embeddings")).drop("h")
+
+
+@query(with_(EMB_SQL) + "SELECT a.vid AS va, a.idx AS ia, b.vid AS vb, b.idx AS ib, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS dist FROM em a JOIN em b ON a.vid < b.vid AND bit_count(xor(a.h, b.h)) <= 20")
+def q_hamming_pairs_emb(spark, d):
+    f = Scratch(spark, "frames").table(S.emb_frames(read(spark, d, "embeddings")), "emb_frames")
+    return J.frame_pairs(f, 20)
+
+
+@query(with_(DOC_SQL) + "SELECT vid AS video_id, idx AS frame_idx, CAST(idx AS DOUBLE) AS timestamp, lower(lpad(hex(h), 16, '0')) AS phash FROM fr")
+def q_doc_frames(spark, d):
+    return S.doc_frames(read(spark, d, "documents")).drop("h")
+
+
+@query(r"SELECT doc_id AS video_id, CAST(pos - 1 AS BIGINT) AS frame_idx, CAST(pos - 1 AS DOUBLE) AS timestamp, substr(md5(line), 1, 16) AS phash FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL)")
+def q_line_frames(spark, d):
+    return S.line_frames(read(spark, d, "documents")).drop("h")
+
+
+@query("SELECT user_id AS video_id, idx AS frame_idx, CAST(idx AS DOUBLE) AS timestamp, phash FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, substr(md5(event_type), 1, 16) AS phash FROM events)")
+def q_event_frames(spark, d):
+    return S.event_frames(read(spark, d, "events")).drop("h")
+
+
+@query(with_(DOC_SQL) + "SELECT vid AS video_id, count(*) AS n_frames FROM fr GROUP BY 1")
+def q_frames_per_video(spark, d):
+    f, v = S.doc_frames(read(spark, d, "documents")), videos(spark, d)
+    return v.join(f, F.col("id") == F.col("video_id")).groupBy("video_id").agg(F.count("*").alias("n_frames"))
+
+
+# -- similarity ------------------------------------------------------------------------------------------------
+
+
+@query(with_(DOC_SQL, FP_SQL) + "SELECT fp.va, fp.ia, fp.vb, fp.ib FROM fp")
+def q_frame_pairs_radius(spark, d):
+    return J.frame_pairs(docs(spark, d), 10).drop("dist")
+
+
+@query(with_(DOC_SQL, FP_SQL) + "SELECT va AS a, vb AS b FROM cp")
+def q_candidate_pairs(spark, d):
+    return J.candidate_pairs(docs(spark, d), 10)
+
+
+@query(with_(DOC_SQL, FP_SQL) + """, nn AS (SELECT q.vid AS qv, x.vid AS xv, row_number() OVER (PARTITION BY q.vid, q.idx ORDER BY bit_count(xor(q.h, x.h)), x.vid, x.idx) AS r
+FROM fr q JOIN hp ON hp.h1 = q.h JOIN fr x ON x.h = hp.h2)
+SELECT DISTINCT least(qv, xv) AS a, greatest(qv, xv) AS b FROM nn WHERE r <= 16 AND qv <> xv""")
+def q_knn16_compat(spark, d):
+    return J.knn_candidate_pairs(docs(spark, d), 10)
+
+
+ALL_PAIRS = "SELECT CASE WHEN a.d <= b.d THEN a.id ELSE b.id END AS short_id, CASE WHEN a.d <= b.d THEN b.id ELSE a.id END AS long_id FROM v a JOIN v b ON a.id < b.id"
+SUPPLIER_VIDEOS = "WITH v AS (SELECT s_suppkey AS id, coalesce(CAST(s_nationkey AS DOUBLE), 0) AS d FROM supplier) "
+
+
+def supplier_videos(spark, d):
+    return read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("double").alias("duration"))
+
+
+@query(SUPPLIER_VIDEOS + ALL_PAIRS)
+def q_all_pairs(spark, d):
+    return M.all_pairs(supplier_videos(spark, d))
+
+
+@query(SUPPLIER_VIDEOS + ALL_PAIRS + " WHERE a.d <> b.d")
+def q_all_pairs_filter_length(spark, d):
+    return M.all_pairs(supplier_videos(spark, d), True)
+
+
+def scored(spark, d, step):
+    f = docs(spark, d)
+    v = Scratch(spark, "videos").table(S.videos_of(f), "videos")
+    fp = J.frame_pairs(f, 10)
+    return fp, M.orient(fp.select(F.col("va").alias("a"), F.col("vb").alias("b")).distinct(), v)
+
+
+SLIDING = "SELECT pr.short_id, pr.long_id, coalesce(cf.confidence, 0.0) AS confidence FROM pr LEFT JOIN cf ON cf.short_id = pr.short_id AND cf.long_id = pr.long_id"
+
+
+@query(with_(DOC_SQL, FP_SQL, DG_SQL, step=1) + SLIDING)
+def q_sliding_step1(spark, d):
+    return M.confidences(*scored(spark, d, 1), 1).select("short_id", "long_id", "confidence")
+
+
+@query(with_(DOC_SQL, FP_SQL, DG_SQL) + SLIDING)
+def q_sliding_step3(spark, d):
+    return M.confidences(*scored(spark, d, 3), 3).select("short_id", "long_id", "confidence")
+
+
+@query(with_(DOC_SQL, FP_SQL, DG_SQL, step=1) + "SELECT short_id, long_id, start, hits FROM (SELECT *, row_number() OVER (PARTITION BY short_id, long_id ORDER BY hits DESC, start) AS r FROM dg) WHERE r = 1")
+def q_best_offset(spark, d):
+    return M.best_offsets(*scored(spark, d, 1), 1)
+
+
+def matched(spark, d, **args):
+    f = docs(spark, d)
+    v = Scratch(spark, "videos").table(S.videos_of(f), "videos")
+    return M.matches(f, v, M.MatchParams(**args))
+
+
+MATCH = f"SELECT short_id, long_id, {TYPE_SQL}, confidence FROM cf WHERE confidence >= 0.8 AND sd >= "
+
+
+@query(with_(DOC_SQL, FP_SQL, DG_SQL) + MATCH + "10")
+def q_match_default(spark, d):
+    return matched(spark, d)
+
+
+@query(with_(DOC_SQL, FP_SQL, DG_SQL) + MATCH + "10 AND sd <> ld")
+def q_match_filter_length(spark, d):
+    return matched(spark, d, filter_length=True)
+
+
+@query(with_(DOC_SQL, FP_SQL, DG_SQL, step=1) + MATCH + "0")
+def q_match_every_start(spark, d):
+    return matched(spark, d, frame_step=1, window=0.0)
+
+
+@query(with_(DOC_SQL, FP_SQL, DG_SQL, t=4, step=1) + MATCH.replace("0.8", "0.95") + "5")
+def q_match_strict(spark, d):
+    return matched(spark, d, frame_step=1, window=5.0, threshold=4, min_confidence=0.95)
+
+
+@query(with_(DOC_SQL, FP_SQL) + "SELECT va AS a, vb AS b FROM cp WHERE (va + vb) % 4 <> 0")
+def q_resume_anti(spark, d):
+    c = J.candidate_pairs(docs(spark, d), 10)
+    c = Scratch(spark, "pairs").table(c, "pairs")
+    done = c.where("(a + b) % 4 = 0").select(F.col("b").alias("video_a_id"), F.col("a").alias("video_b_id"))
+    return M.uncompared(c, done)
+
+
+@query(with_(DOC_SQL, FP_SQL) + "SELECT short_id, long_id, sd < 10 AS too_short FROM pr")
+def q_too_short_split(spark, d):
+    _, p = scored(spark, d, 3)
+    eligible, short = M.gate(p, M.MatchParams())
+    pick = lambda x, y: x.select("short_id", "long_id", F.lit(y).alias("too_short"))
+    return pick(eligible, False).unionByName(pick(short, True))
+
+
+@query(with_(DOC_SQL, FP_SQL) + "SELECT a, b FROM (SELECT va AS a, vb AS b FROM cp UNION SELECT doc_id, doc_id + 1 FROM documents)")
+def q_candidate_union(spark, d):
+    old = read(spark, d, "documents").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
+    return J.candidate_pairs(docs(spark, d), 10).union(old).distinct()
+
+
+@query(with_(DOC_SQL, FP_SQL) + "SELECT a, b FROM (SELECT va AS a, vb AS b FROM cp EXCEPT SELECT doc_id, doc_id + 1 FROM documents)")
+def q_candidate_new(spark, d):
+    old = read(spark, d, "documents").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
+    return J.candidate_pairs(docs(spark, d), 10).subtract(old)
+
+
+# -- groups and moves --------------------------------------------------------------------------------------------
+
+CC_SQL = """
+ed AS (SELECT video_a_id AS a, video_b_id AS b FROM mt WHERE moved = 0 UNION SELECT video_b_id, video_a_id FROM mt WHERE moved = 0),
+rc(a, b) AS (SELECT a, a FROM ed UNION SELECT rc.a, ed.b FROM rc JOIN ed ON ed.a = rc.b),
+cc AS (SELECT a AS video_id, min(b) AS label FROM rc GROUP BY 1),
+gn AS (SELECT label, row_number() OVER (ORDER BY f) AS group_id FROM (SELECT label, min(id) AS f FROM cc JOIN mt ON moved = 0 AND mt.video_a_id = cc.video_id GROUP BY 1))"""
+
+
+@query(with_(MATCHES_SQL, CC_SQL, recursive=True) + "SELECT video_id, label FROM cc")
+def q_components(spark, d):
+    return O.groups(made_matches(spark, d), table(spark))
+
+
+@query(with_(MATCHES_SQL, CC_SQL, recursive=True) + "SELECT video_id, group_id FROM cc JOIN gn USING (label)")
+def q_group_numbering(spark, d):
+    m = made_matches(spark, d)
+    return O.numbered(O.groups(m, table(spark)), m)
+
+
+@query(with_(FIXTURE_SQL, MATCHES_SQL, CC_SQL, recursive=True) + f"""SELECT video_id, group_id, coalesce(moved_to, path) AS source,
+'{ROOT}/' || group_id || '/v' || video_id || '.MP4' AS target FROM cc JOIN gn USING (label) JOIN vid ON id = video_id""")
+def q_move_plan(spark, d):
+    m = made_matches(spark, d)
+    return O.move_plan(O.numbered(O.groups(m, table(spark)), m), videos(spark, d), ROOT)
+
+
+@query(with_(MATCHES_SQL, CC_SQL, recursive=True) + "SELECT count(*) AS n_videos, count(DISTINCT label) AS n_groups FROM cc")
+def q_move_dryrun(spark, d):
+    return O.summary(O.groups(made_matches(spark, d), table(spark)))
+
+
+# -- reconciliation and changes of tables ------------------------------------------------------------------------
+
+
+@query(with_(FIXTURE_SQL) + """SELECT id // 9 AS group_id, count(*) AS n_records, count(*) FILTER (WHERE id % 2 <> 0) AS n_deleted,
+CASE WHEN count(*) FILTER (WHERE id % 2 <> 0) > 0 AND count(*) FILTER (WHERE id % 2 = 0) = 1 THEN min(CASE WHEN id % 2 = 0 THEN id END) END AS returned_id
+FROM vid WHERE moved_to IS NOT NULL GROUP BY 1""")
+def q_cleanup_outcome(spark, d):
+    v = videos(spark, d)
+    return R.group_outcomes(v, listing(v), ROOT)
+
+
+@query(with_(FIXTURE_SQL) + f"""SELECT id, moved_to AS source, path AS target FROM vid JOIN (SELECT id // 9 AS g FROM vid WHERE moved_to IS NOT NULL GROUP BY 1
+HAVING count(*) FILTER (WHERE id % 2 <> 0) > 0 AND count(*) FILTER (WHERE id % 2 = 0) = 1) ON g = id // 9 WHERE moved_to IS NOT NULL AND id % 2 = 0""")
+def q_return_plan(spark, d):
+    v = videos(spark, d)
+    return R.return_plan(v, R.group_outcomes(v, listing(v), ROOT), listing(v))
+
+
+@query(with_(FIXTURE_SQL, MATCHES_SQL) + """, dl AS (SELECT id AS x FROM vid WHERE moved_to IS NOT NULL AND id % 2 <> 0)
+SELECT 'videos' AS name, count(*) AS n FROM vid WHERE id NOT IN (SELECT x FROM dl)
+UNION ALL SELECT 'matches', count(*) FROM mt WHERE video_a_id NOT IN (SELECT x FROM dl) AND video_b_id NOT IN (SELECT x FROM dl)
+UNION ALL SELECT 'frame_hashes', coalesce(sum(len(string_split(text, chr(10)))), 0) FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT x FROM dl)""")
+def q_cascade_delete(spark, d):
+    v = videos(spark, d)
+    t = {"videos": v, "matches": made_matches(spark, d), "frame_hashes": S.line_frames(read(spark, d, "documents"))}
+    left = R.cascade_delete(t, R.deleted_members(v, listing(v), ROOT))
+    out = [left[k].agg(F.lit(k).alias("name"), F.count("*").alias("n")).select("name", "n") for k in t]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query(with_(FIXTURE_SQL) + "SELECT id FROM vid WHERE path NOT IN (SELECT path FROM listing) AND (moved_to IS NULL OR moved_to NOT IN (SELECT path FROM listing))")
+def q_sync_missing(spark, d):
+    v = videos(spark, d)
+    return R.missing(v, listing(v)).select("id")
+
+
+@query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN d.n_chars ELSE -1 END AS n_chars FROM documents d LEFT JOIN labels l USING (doc_id)")
+def q_upsert(spark, d):
+    t, rows = read(spark, d, "documents").select("doc_id", "n_chars"), read(spark, d, "labels").select("doc_id", F.lit(-1).cast("long").alias("n_chars"))
+    return T.upsert(t, rows, ["doc_id"])
+
+
+@query("SELECT doc_id AS a, doc_id + 1 AS b FROM labels UNION SELECT doc_id, doc_id + 1 FROM documents")
+def q_insert_ignore(spark, d):
+    pair = lambda t: read(spark, d, t).select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
+    return T.insert_ignore(pair("labels"), pair("documents"), ["a", "b"])
+
+
+@query(with_(MATCHES_SQL) + "SELECT id, CAST(CASE WHEN video_a_id % 2 = 0 AND video_b_id % 2 = 0 THEN 1 ELSE moved END AS INTEGER) AS moved FROM mt")
+def q_update_moved(spark, d):
+    ids = read(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"))
+    return T.flag_pairs(made_matches(spark, d), ids, 1).select("id", "moved")
+
+
+@query(with_(MATCHES_SQL) + "SELECT id, CAST(CASE WHEN video_a_id % 2 = 0 OR video_b_id % 2 = 0 THEN 0 ELSE moved END AS INTEGER) AS moved FROM mt")
+def q_reset_moved(spark, d):
+    ids = read(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"))
+    return T.flag_pairs(made_matches(spark, d), ids, 0, both=False).select("id", "moved")
+
+
+@query(with_(FIXTURE_SQL) + "SELECT id, CASE WHEN doc_id IS NOT NULL THEN NULL ELSE moved_to END AS moved_to FROM vid LEFT JOIN labels ON doc_id = id")
+def q_update_moved_to(spark, d):
+    ids = read(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    return T.update(videos(spark, d), ids, "id", {"moved_to": F.lit(None).cast("string")}).select("id", "moved_to")
+
+
+@query(with_(FIXTURE_SQL) + "SELECT max(fingerprinted_at) > 1700000010 AS stale FROM vid")
+def q_stale_check(spark, d):
+    return R.is_stale(videos(spark, d), "2023-11-14T22:13:30Z")
+
+
+@query(with_(FIXTURE_SQL) + "SELECT (SELECT max(id) FROM vid WHERE id % 2 = 0) + row_number() OVER (ORDER BY path) AS id, path FROM vid WHERE id % 2 <> 0")
+def q_register_ids(spark, d):
+    v = videos(spark, d)
+    return T.register(v.where("id % 2 = 0"), v.select("path")).select("id", "path")
+
+
+@query(with_(FIXTURE_SQL) + "SELECT id, path FROM vid WHERE fingerprinted_at IS NULL")
+def q_unprocessed(spark, d):
+    return T.unprocessed(videos(spark, d))
+
+
+@query()
+def q_phash_synthetic(spark, d):
+    from ..sources import decode
+
+    rows = read(spark, d, "embeddings").select(F.col("label").cast("long").alias("id"), F.lit(30).cast("long").alias("n")).distinct()
+    return decode.synthetic_frames(rows)
