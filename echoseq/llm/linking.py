@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from ..operators.graph import connected_components
+from ..scratch import Scratch
 
 #: Rounds at most, and comparisons a bucket row at which the exact rest begins.
 ROUNDS, LIGHT = 8, 4
@@ -29,33 +30,6 @@ SMALL, BLOCK = 64, 256
 SKETCH_WORDS = 16
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, label) for every node of `edges` (a, b); label: the smallest node reachable.
-
-    Each pass hooks every node to its smallest neighbour, follows the hooks twice, and contracts the
-    graph; at least one node of every component with an edge goes each pass, and stars and chains of
-    hooks collapse at once. Ends when no edge between two labels is left.
-    """
-    e = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    labels = None
-    while not e.isEmpty():
-        hook = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))
-        jump = hook.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        hook = hook.join(jump, "up", "left").select("node", F.coalesce("up2", "up").alias("up"))
-        hook = scratch.table(hook, "hook")
-        nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct() if labels is None else None
-        old = labels if labels is not None else nodes.select("node", F.col("node").alias("label"))
-        new = old.join(hook.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-        labels = scratch.table(new, "labels")
-        a = hook.select(F.col("node").alias("a"), F.col("up").alias("pa"))
-        b = hook.select(F.col("node").alias("b"), F.col("up").alias("pb"))
-        nxt = e.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")).where("a <> b")
-        e = scratch.table(nxt.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if labels is None:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return labels
-
-
 def agreeing(x: str, y: str, words: int = SKETCH_WORDS) -> Column:
     """In how many of their four-bit coordinates two sketches of 64-bit words agree."""
     z = [F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i))) for i in range(words)]
@@ -154,7 +128,7 @@ def link_classes(nodes: DataFrame, payloads: Callable[[DataFrame], DataFrame], a
     links = scratch.table(confirm(tested), "links")
     before = None
     for r in range(ROUNDS):
-        labels = connected_components(links, scratch)
+        labels = connected_components(links, scratch.table)
         marked = rows.drop("n").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         sides = marked.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", "n").alias("major"))
         marked = scratch.table(marked.join(sides.where("most < n").drop("most"), "key"), "open")
@@ -179,4 +153,4 @@ def link_classes(nodes: DataFrame, payloads: Callable[[DataFrame], DataFrame], a
         tested = tested.unionByName(pairs)
         if last:
             break
-    return connected_components(links, scratch)
+    return connected_components(links, scratch.table)
