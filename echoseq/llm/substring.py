@@ -148,15 +148,18 @@ def repeated_windows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     keyed = keys(documents(docs))
     anchors = scratch.table(keyed.select("k1", "k2", "text").mapInArrow(anchor_rows, "k1 long, k2 long, pos int, seed long"), "anchors")
     shared = anchors.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    # Written first: a join of two plain exchanges lets Spark split a seed that a third of all documents hold.
+    shared = scratch.table(shared, "shared")
     places = anchors.join(shared, "seed", "left_semi").groupBy("k1", "k2").agg(F.array_distinct(F.collect_list("pos")).alias("pos"))
     places = scratch.table(places, "places")
-    scratch.drop(anchors)
+    scratch.drop(anchors, shared)
     windows = keyed.join(places, ["k1", "k2"]).select("k1", "k2", "text", "pos").mapInArrow(window_rows, "k1 long, k2 long, start int, h1 long, h2 short")
     windows = scratch.table(windows, "windows")
     again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    again = scratch.table(again, "again")
     starts = windows.join(again, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.array_distinct(F.collect_list("start")).alias("starts"))
     starts = scratch.table(starts, "starts")
-    scratch.drop(windows, places)
+    scratch.drop(windows, places, again)
     return starts
 
 
