@@ -133,13 +133,18 @@ def similar_sets(x: bytes, y: bytes, percent: int = PERCENT) -> bool:
 
 
 def classes(signed: DataFrame, payloads, accept, ratio: int, agree: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, component_id) of `signed` (row, doc_id, digest, n, sketch, keys; a written table); equal digests count as one node."""
-    with_id = signed.where("doc_id is not null and digest is not null")
-    first = scratch.table(with_id.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("row", "doc_id").alias("row")), "first")
-    nodes = with_id.join(first.select("row"), "row", "left_semi").select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "sketch", "keys")
+    """(doc_id, component_id) where they differ, of `signed` (row, doc_id, digest, n, sketch, keys; a written table); equal digests count as one node."""
+    slim = signed.select("row", "doc_id", "digest").where("doc_id is not null and digest is not null")
+    first = slim.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("row", "doc_id").alias("first_row"), F.count("*").alias("n"))
+    first = scratch.table(first, "first")
+    # Most digests occur once, so the few later copies are taken out rather than the many first ones picked.
+    copies = slim.join(first.where("n > 1").select("digest", "first_row"), "digest").where("row <> first_row").select("row")
+    copies = scratch.table(copies, "copies")
+    unique = signed.where("doc_id is not null and digest is not null").join(copies, "row", "left_anti")
+    nodes = unique.select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "sketch", "keys")
     labels = link_classes(scratch.table(nodes, "nodes"), payloads, accept, ratio, agree, scratch)
-    member = first.drop("row").join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("label", "id").alias("component_id"))
-    return signed.select("doc_id", "digest").join(member, "digest", "left")
+    member = first.join(labels.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or label is not null").select("digest", F.coalesce("label", "id").alias("component_id"))
+    return slim.select("doc_id", "digest").join(member, "digest").where("doc_id <> component_id").select("doc_id", "component_id").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -152,7 +157,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         return docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(set_payloads, "id long, payload binary")
 
     input_ = signed.select("row", "doc_id", "digest", F.col("n_shingles").alias("n"), "sketch", "keys")
-    found = scratch.table(classes(input_, payloads, similar_sets, PERCENT, AGREE, scratch).select("doc_id", "component_id").where("doc_id <> component_id").distinct(), "moved")
+    found = scratch.table(classes(input_, payloads, similar_sets, PERCENT, AGREE, scratch), "moved")
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
