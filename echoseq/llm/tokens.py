@@ -14,7 +14,7 @@ from array import array
 #: A chunk: white space, then letters up to a comma or full stop, or all up to the next white space.
 CHUNK = re.compile(r"[ \n]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,])|[^ \n]+)|[ \n]+")
 ODD_SPACE = re.compile(r"[^\S \n]")
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 800_000, 48
 END_ID = 0
 
 
