@@ -15,10 +15,16 @@ def shape(df: DataFrame, fps: float = 1.0) -> DataFrame:
     return df.select("video_id", F.col("frame_idx").cast("bigint").alias("frame_idx"), (F.col("frame_idx") / F.lit(float(fps))).alias("timestamp"), H.to_hex("h").alias("phash"), "h")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores where its files make fewer tasks than there are; a large table stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, key) if df.rdd.getNumPartitions() < n else df
+
+
 def doc_frames(documents: DataFrame, fps: float = 1.0, words: int = H.FRAME_WORDS) -> DataFrame:
     """Each run of `words` words is a frame; its code is the SimHash of the words' MD5 prefixes."""
     w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    rows = documents.select(F.col("doc_id").alias("video_id"), F.posexplode(w).alias("pos", "word"))
+    rows = spread(documents.select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("video_id"), F.posexplode(w).alias("pos", "word"))
     rows = rows.select("video_id", F.floor(F.col("pos") / words).alias("frame_idx"), H.word_code(F.col("word")).alias("u"))
     sums = rows.groupBy("video_id", "frame_idx").agg(*H.simhash_sums(F.col("u")))
     return shape(sums.select("video_id", "frame_idx", H.simhash_of_sums().alias("h")), fps)
