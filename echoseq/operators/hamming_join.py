@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hamming
+from ..scratch import Scratch
 
 #: Bands by radius: few wide bands while their masks are few.
 BANDS = ((12, 4), (64, 8))
@@ -57,11 +58,12 @@ def code_pairs(codes: DataFrame, t: int) -> DataFrame:
 
 
 def near_codes(frames: DataFrame, t: int) -> DataFrame:
-    """(h1, h2, dist), both directions and each code with itself."""
+    """(h1, h2, dist), both directions and each code with itself. A written table: callers join it more than once."""
     codes = frames.select("h").distinct()
-    pairs = code_pairs(codes, t)
-    back = pairs.select(F.col("h2").alias("h1"), F.col("h1").alias("h2"), "dist")
-    return pairs.unionByName(back).unionByName(codes.select(F.col("h").alias("h1"), F.col("h").alias("h2"), F.lit(0).alias("dist")))
+    one, two = F.struct("h1", "h2", "dist"), F.struct(F.col("h2").alias("h1"), F.col("h1").alias("h2"), "dist")
+    both = code_pairs(codes, t).select(F.explode(F.array(one, two)).alias("p")).select("p.*")
+    itself = codes.select(F.col("h").alias("h1"), F.col("h").alias("h2"), F.lit(0).alias("dist"))
+    return Scratch(frames.sparkSession, "codes").table(both.unionByName(itself), "near")
 
 
 def frame_pairs(frames: DataFrame, t: int) -> DataFrame:
