@@ -1,69 +1,191 @@
 """Exact Hamming radius join by multi-index hashing (Norouzi, Punjani, Fleet 2012).
 
 A code is cut into s bands. Two codes within t differ by at most t // s in one of the first t % s + 1 bands
-or by less than t // s in one of the others; so each band's values are probed with all masks of that radius,
-joined on (band, value), and verified. The join runs on distinct codes; frames come back afterwards.
+or by less than t // s in one of the others; so each code is stored in the cell of each band's value and
+probes the cells within that radius of it, and codes that meet in a cell are verified. Of two cells only the
+lesser probes the greater, so a pair meets once a band, and it is reported in its first band alone.
+
+Codes travel as packed blocks: a task sorts its codes by cell and ships one block a cell, and a cell is
+verified by vectorised XOR and popcount. More bands mean fewer copies of a code and more verification; the
+number is chosen by cost from the number of codes, down to no bands (all codes in one cell) for few codes or a
+wide radius. A cell with more codes than CELL is split, and every part meets every other. The join runs on
+distinct codes; frames come back afterwards.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hamming
 from ..scratch import Scratch
 
-#: Bands by radius: few wide bands while their masks are few.
-BANDS = ((12, 4), (64, 8))
+#: What shipping a copy of a code costs, in verifications of a pair.
+SHIP = 300
+#: Codes of a block, codes of a part of a cell, copies that a task sorts at once, and pairs verified at once.
+BLOCK, CELL, STEP, PAIRS = 4096, 1 << 14, 1 << 22, 1 << 21
+#: The plan without bands: every code in one cell.
+WHOLE = [(0, 0, 0)]
 
 
 def masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
-def plan(t: int) -> tuple[int, list[int]]:
-    """Number of bands, and the radius of each (-1: not probed)."""
-    s = next(b for most, b in BANDS if t <= most)
-    a = t // s
-    return s, [a if i <= t - s * a else a - 1 for i in range(s)]
-
-
-def band(h: Column, i: int, s: int) -> Column:
-    width = 64 // s
-    return F.shiftrightunsigned(h, width * i).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).cast("int")
-
-
-def code_pairs(codes: DataFrame, t: int) -> DataFrame:
-    """(h1, h2, dist) of distinct codes (h) with h1 < h2 and distance t or less."""
+def bands(t: int, s: int) -> list[tuple[int, int, int]]:
+    """(shift, width, radius) of the bands that are probed when codes are cut into s."""
+    a, edge = t // s, [64 * i // s for i in range(s + 1)]
+    cut = [(edge[i], edge[i + 1] - edge[i], a if i <= t - s * a else a - 1) for i in range(s)]
+    return [b for b in cut if b[2] >= 0]
+
+
+def copies(plan: list[tuple[int, int, int]]) -> float:
+    """Copies of a code that are shipped: its own cells and half of those near them."""
+    return sum(1 + (sum(comb(w, k) for k in range(r + 1)) - 1) / 2 for _, w, r in plan)
+
+
+def cost(plan: list[tuple[int, int, int]], n: int) -> float:
+    """In verifications, for n evenly spread codes."""
+    share = sum(sum(comb(w, k) for k in range(r + 1)) / 2**w for _, w, r in plan)
+    return SHIP * n * copies(plan) + share * n * n / 2
+
+
+def choose(t: int, n: int) -> list[tuple[int, int, int]]:
+    """The cheapest plan for n codes."""
+    plans = [p for p in (bands(t, s) for s in range(3, 17)) if copies(p) <= STEP / 256]
+    return min([WHOLE, *plans], key=lambda p: cost(p, n))
+
+
+def steps(batches, size: int):
+    """Codes in runs of at least `size`, the last one shorter."""
+    held, n = [], 0
+    for rb in batches:
+        held.append(rb.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        n += len(held[-1])
+        if n >= size:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
+def blocks(band: int, cell: np.ndarray, codes: np.ndarray, probe: int) -> pa.RecordBatch:
+    """A row for each cell, or for each BLOCK codes of it."""
+    order = np.argsort(cell, kind="stable")
+    cell, codes = cell[order], codes[order]
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(cell)])
+    parts = -(-size // BLOCK)
+    at = np.repeat(first, parts) + BLOCK * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    ends = pa.array(8 * np.r_[at, len(cell)], pa.int64())
+    packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, ends.buffers()[1], pa.py_buffer(codes.tobytes())]).cast(pa.binary())
+    number = lambda x, t: pa.array(np.full(len(at), x), t)
+    return pa.RecordBatch.from_arrays([number(band, pa.int32()), pa.array(cell[at].astype(np.int64)), number(probe, pa.int32()), pa.array(np.diff(np.r_[at, len(cell)]).astype(np.int64)), packed], ["band", "cell", "probe", "n", "codes"])
+
+
+def place(plan: list[tuple[int, int, int]]):
+    """Blocks of the codes of a task in their own cells and in greater ones nearby."""
+    near = [np.array(masks(w, r)[1:], np.uint64) for _, w, r in plan]
+    size = max(1, int(STEP / max(1.0, *[1.0 + len(m) for m in near])))
+
+    def run(batches):
+        for h in steps(batches, min(size, 1 << 17)):
+            for k, (shift, width, _) in enumerate(plan):
+                own = h >> np.uint64(shift) & np.uint64((1 << width) - 1)
+                yield blocks(k, own, h, 0)
+                for lo in range(0, len(h), size) if len(near[k]) else ():
+                    v = own[lo : lo + size, None]
+                    there = v ^ near[k]
+                    row, col = np.nonzero(v < there)
+                    yield blocks(k, there[row, col], h[lo : lo + size][row], 1)
+
+    return run
+
+
+def verify(plan: list[tuple[int, int, int]], t: int):
+    """Pairs within t of rows (band, cell, part, probe, codes) that come sorted by cell and part, stored codes first."""
+
+    def within(a: np.ndarray, b: np.ndarray, k: int, same: bool):
+        size = max(1, PAIRS // max(1, len(b)))
+        for lo in range(0, len(a), size):
+            d = np.bitwise_count(a[lo : lo + size, None] ^ b[None, :])
+            i, j = np.nonzero(d <= t)
+            if same:
+                up = i + lo < j
+                i, j = i[up], j[up]
+            x, y, d = a[lo + i], b[j], d[i, j]
+            z, first = x ^ y, np.ones(len(x), bool)
+            for shift, width, radius in plan[:k]:
+                first &= np.bitwise_count(z >> np.uint64(shift) & np.uint64((1 << width) - 1)) > radius
+            x, y = x[first].view(np.int64), y[first].view(np.int64)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d[first].astype(np.int32))], ["h1", "h2", "dist"])
+
+    def meet(stored: list, probes: list, band: int):
+        if stored and probes:
+            yield from within(np.concatenate(probes), np.concatenate(stored), band, False)
+
+    def run(batches):
+        key, stored, probes, held = None, [], [], 0
+        for rb in batches:
+            for *here, probe, codes in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+                if here != key:
+                    if key:
+                        yield from meet(stored, probes, key[0])
+                        if stored:
+                            own = np.concatenate(stored)
+                            yield from within(own, own, key[0], True)
+                    key, stored, probes, held = here, [], [], 0
+                x = np.frombuffer(codes, np.uint64)
+                if not probe:
+                    stored.append(x)
+                elif stored:
+                    probes.append(x)
+                    held += len(x)
+                    if held >= BLOCK:
+                        yield from meet(stored, probes, key[0])
+                        probes, held = [], 0
+        if key and stored:
+            yield from meet(stored, probes, key[0])
+            own = np.concatenate(stored)
+            yield from within(own, own, key[0], True)
+
+    return run
+
+
+def code_pairs(codes: DataFrame, t: int, plan: list[tuple[int, int, int]] | None = None) -> DataFrame:
+    """(h1, h2, dist) of distinct codes (h) with h1 < h2 and distance t or less, each pair once. codes is read more than once."""
     if not 0 <= t <= 64:
         raise ValueError("threshold must be 0 to 64")
-    s, radii = plan(t)
-    h = F.col("h")
-    used = [i for i in range(s) if radii[i] >= 0]
-    stored = F.array(*[F.struct(F.lit(i).alias("band"), band(h, i, s).alias("value")) for i in used])
-    # Bands of one radius share their masks.
-    probes = []
-    for r in sorted({radii[i] for i in used}):
-        own = F.array(*[F.struct(F.lit(i).alias("band"), band(h, i, s).alias("value")) for i in used if radii[i] == r])
-        m = F.explode(F.array(*[F.lit(x) for x in masks(64 // s, r)])) if r else F.explode(F.array(F.lit(0)))
-        probes.append(codes.select(h.alias("h1"), F.explode(own).alias("b")).select("h1", "b", m.alias("mask")).select("h1", F.col("b.band").alias("band"), F.col("b.value").bitwiseXOR(F.col("mask")).alias("value")))
-    probe = probes[0]
-    for p in probes[1:]:
-        probe = probe.unionByName(p)
-    table = codes.select(h.alias("h2"), F.explode(stored).alias("b")).select("h2", "b.*")
-    met = probe.join(table, ["band", "value"]).where((F.col("h1") < F.col("h2")) & (hamming("h1", "h2") <= t))
-    return met.select("h1", "h2").distinct().withColumn("dist", hamming("h1", "h2"))
+    spark = codes.sparkSession
+    codes = codes.where("h is not null").select("h")
+    plan = plan or choose(t, codes.count())
+    rows = codes.mapInArrow(place(plan), "band int, cell long, probe int, n long, codes binary").withColumn("id", F.xxhash64("codes"))
+    rows = Scratch(spark, "codes").table(rows, "blocks")
+    # Parts of a full cell: a stored block is of one part and probes the later ones, a probe meets all.
+    full = rows.where("probe = 0").groupBy("band", "cell").agg(F.ceil(F.sum("n") / CELL).alias("parts")).where("parts > 1")
+    rows = rows.join(full, ["band", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    own = F.when(F.col("probe") == 0, F.pmod("id", "parts")).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumn("own", own).select("band", "cell", F.explode(F.sequence("own", F.col("parts") - 1)).alias("part"), "own", "probe", "codes")
+    probe = F.when((F.col("probe") == 0) & (F.col("part") == F.col("own")), F.lit(0)).otherwise(F.lit(1)).alias("probe")
+    rows = rows.select("band", "cell", "part", probe, "codes")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "band", "cell", "part").sortWithinPartitions("band", "cell", "part", "probe")
+    return rows.mapInArrow(verify(plan, t), "h1 long, h2 long, dist int")
 
 
 def near_codes(frames: DataFrame, t: int) -> DataFrame:
     """(h1, h2, dist), both directions and each code with itself. A written table: callers join it more than once."""
-    codes = frames.select("h").distinct()
+    scratch = Scratch(frames.sparkSession, "codes")
+    codes = scratch.table(frames.select("h").distinct(), "distinct")
     one, two = F.struct("h1", "h2", "dist"), F.struct(F.col("h2").alias("h1"), F.col("h1").alias("h2"), "dist")
     both = code_pairs(codes, t).select(F.explode(F.array(one, two)).alias("p")).select("p.*")
     itself = codes.select(F.col("h").alias("h1"), F.col("h").alias("h2"), F.lit(0).alias("dist"))
-    return Scratch(frames.sparkSession, "codes").table(both.unionByName(itself), "near")
+    return scratch.table(both.unionByName(itself), "near")
 
 
 def frame_pairs(frames: DataFrame, t: int) -> DataFrame:

@@ -68,6 +68,24 @@ def test_radius_join_is_exact(spark, t):
     assert got == want
 
 
+@pytest.mark.parametrize("plan", [hamming_join.WHOLE, hamming_join.bands(10, 4), hamming_join.bands(10, 8), hamming_join.bands(10, 13)])
+def test_radius_join_splits_full_cells(spark, plan, monkeypatch):
+    """Codes that crowd one cell of a band, with parts and blocks of a few codes each; each pair comes once."""
+    for name, value in (("CELL", 7), ("BLOCK", 3), ("PAIRS", 20)):
+        monkeypatch.setattr(hamming_join, name, value)
+    r = random.Random(5)
+    codes = sorted({r.getrandbits(24) for _ in range(60)} | {(1 << 63) | r.getrandbits(20) for _ in range(30)})
+    df = spark.createDataFrame([(signed(h),) for h in codes] + [(None,)], "h long")
+    got = [(x.h1, x.h2, x.dist) for x in hamming_join.code_pairs(df, 10, plan).collect()]
+    want = {(*sorted((signed(a), signed(b))), distance(a, b)) for i, a in enumerate(codes) for b in codes[:i] if distance(a, b) <= 10}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_plan_follows_the_number_of_codes():
+    assert hamming_join.choose(10, 100) == hamming_join.WHOLE and hamming_join.choose(64, 10**9) == hamming_join.WHOLE
+    assert len(hamming_join.choose(10, 10**5)) > len(hamming_join.choose(10, 10**8)) > len(hamming_join.choose(10, 10**10))
+
+
 def test_knn_counts_own_frames(spark, videos):
     f = frames_df(spark, videos)
     flat = [(v, i, h) for v, hs in videos.items() for i, h in enumerate(hs)]
