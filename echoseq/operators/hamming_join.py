@@ -28,6 +28,8 @@ from ..scratch import Scratch
 SHIP = 300
 #: Codes of a block, codes of a part of a cell, copies that a task sorts at once, and pairs verified at once.
 BLOCK, CELL, STEP, PAIRS = 4096, 1 << 14, 1 << 22, 1 << 21
+#: Rows of a code that one part of a join on codes takes.
+ROWS = 256
 #: The plan without bands: every code in one cell.
 WHOLE = [(0, 0, 0)]
 
@@ -188,18 +190,29 @@ def near_codes(frames: DataFrame, t: int) -> DataFrame:
     return scratch.table(both.unionByName(itself), "near")
 
 
+def spread_join(half: DataFrame, other: DataFrame) -> DataFrame:
+    """Joined on h2. A code with more than ROWS rows of `other` is split by them into parts, and so over tasks."""
+    full = other.groupBy("h2").agg(F.ceil(F.count("*") / ROWS).alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    split = other.join(full, "h2", "left").select(*other.columns, F.pmod(F.xxhash64(*other.columns), parts).alias("part"))
+    all_parts = half.join(full, "h2", "left").select(*half.columns, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    tasks = int(half.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return all_parts.repartition(tasks, "h2", "part").join(split, ["h2", "part"]).drop("part")
+
+
 def frame_pairs(frames: DataFrame, t: int) -> DataFrame:
     """(va, ia, vb, ib, dist) of frames of two videos, va < vb, with distance t or less."""
     a = frames.select(F.col("h").alias("h1"), F.col("video_id").alias("va"), F.col("frame_idx").alias("ia"))
     b = frames.select(F.col("h").alias("h2"), F.col("video_id").alias("vb"), F.col("frame_idx").alias("ib"))
-    return near_codes(frames, t).join(a, "h1").join(b, "h2").where("va < vb").select("va", "ia", "vb", "ib", "dist")
+    return spread_join(near_codes(frames, t).join(a, "h1"), b).where("va < vb").select("va", "ia", "vb", "ib", "dist")
 
 
 def candidate_pairs(frames: DataFrame, t: int) -> DataFrame:
     """(a, b), a < b: videos with a frame pair. Videos of a code are taken once each, so frames don't multiply."""
     own = frames.select("h", "video_id").distinct()
     a, b = own.select(F.col("h").alias("h1"), F.col("video_id").alias("a")), own.select(F.col("h").alias("h2"), F.col("video_id").alias("b"))
-    return near_codes(frames, t).join(a, "h1").join(b, "h2").where("a < b").select("a", "b").distinct()
+    half = near_codes(frames, t).join(a, "h1").select("h2", "a").distinct()
+    return spread_join(half, b).where("a < b").select("a", "b").distinct()
 
 
 def knn_candidate_pairs(frames: DataFrame, t: int, k: int = 16) -> DataFrame:
