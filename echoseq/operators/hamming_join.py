@@ -200,11 +200,11 @@ def spread_join(half: DataFrame, other: DataFrame) -> DataFrame:
     return all_parts.repartition(tasks, "h2", "part").join(split, ["h2", "part"]).drop("part")
 
 
-def frame_pairs(frames: DataFrame, t: int) -> DataFrame:
-    """(va, ia, vb, ib, dist) of frames of two videos, va < vb, with distance t or less."""
-    a = frames.select(F.col("h").alias("h1"), F.col("video_id").alias("va"), F.col("frame_idx").alias("ia"))
-    b = frames.select(F.col("h").alias("h2"), F.col("video_id").alias("vb"), F.col("frame_idx").alias("ib"))
-    return spread_join(near_codes(frames, t).join(a, "h1"), b).where("va < vb").select("va", "ia", "vb", "ib", "dist")
+def frame_pairs(frames: DataFrame, t: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(va, ia, vb, ib, dist) of frames of two videos, va < vb, with distance t or less; columns to carry come as x_a and x_b."""
+    side = lambda h, v: [F.col("h").alias(h), F.col("video_id").alias(f"v{v}"), F.col("frame_idx").alias(f"i{v}"), *[F.col(c).alias(f"{c}_{v}") for c in carry]]
+    half = near_codes(frames, t).join(frames.select(*side("h1", "a")), "h1")
+    return spread_join(half, frames.select(*side("h2", "b"))).where("va < vb").select("va", "ia", "vb", "ib", "dist", *[f"{c}_{v}" for c in carry for v in "ab"])
 
 
 def candidate_pairs(frames: DataFrame, t: int) -> DataFrame:

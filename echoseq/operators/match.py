@@ -37,14 +37,15 @@ def duration(c: str = "duration") -> Column:
 
 
 def orient(pairs: DataFrame, videos: DataFrame) -> DataFrame:
-    """(a, b) to short and long by duration, a tie keeps a short; pairs with an unknown video go."""
+    """(a, b) to short and long by duration, a tie keeps a short; pairs with an unknown video go. Further columns stay."""
+    more = [c for c in pairs.columns if c not in ("a", "b")]
     v = videos.select("id", duration().alias("d"), "n_frames")
     x = v.select(F.col("id").alias("a"), F.col("d").alias("da"), F.col("n_frames").alias("na"))
     y = v.select(F.col("id").alias("b"), F.col("d").alias("db"), F.col("n_frames").alias("nb"))
-    p = pairs.select("a", "b").join(x, "a").join(y, "b")
+    p = pairs.join(x, "a").join(y, "b")
     s = F.col("da") <= F.col("db")
     pick = lambda l, r, name: F.when(s, F.col(l)).otherwise(F.col(r)).alias(name)
-    return p.select("a", "b", pick("a", "b", "short_id"), pick("b", "a", "long_id"), pick("da", "db", "short_duration"), pick("db", "da", "long_duration"), pick("na", "nb", "n"), pick("nb", "na", "m"))
+    return p.select("a", "b", pick("a", "b", "short_id"), pick("b", "a", "long_id"), pick("da", "db", "short_duration"), pick("db", "da", "long_duration"), pick("na", "nb", "n"), pick("nb", "na", "m"), *more)
 
 
 def all_pairs(videos: DataFrame, filter_length: bool = False) -> DataFrame:
@@ -71,12 +72,6 @@ def confidences(fp: DataFrame, pairs: DataFrame, step: int) -> DataFrame:
     return pairs.join(best, ["short_id", "long_id"], "left").withColumn("confidence", F.coalesce("c", F.lit(0.0))).drop("c")
 
 
-def best_offsets(fp: DataFrame, pairs: DataFrame, step: int) -> DataFrame:
-    """(short_id, long_id, start, hits): the best start, ties to the first."""
-    got = offsets(fp, pairs, step).groupBy("short_id", "long_id").agg(F.max(F.struct("hits", -F.col("start"))).alias("b"))
-    return got.select("short_id", "long_id", (-F.col("b.col2")).alias("start"), F.col("b.hits").alias("hits"))
-
-
 def match_type(short: str = "short_duration", long: str = "long_duration") -> Column:
     return F.when(F.col(long) == 0, "duplicate").when(F.col(short) / F.col(long) >= 0.95, "duplicate").otherwise("subclip")
 
@@ -99,11 +94,31 @@ def matches(frames: DataFrame, videos: DataFrame, p: MatchParams, comparisons: D
     return scored.where(F.col("confidence") >= p.min_confidence).select("short_id", "long_id", match_type().alias("match_type"), "confidence")
 
 
+def diagonals(frames: DataFrame, videos: DataFrame, threshold: int, step: int, where: str = "true") -> DataFrame:
+    """(a, b, start, hits): agreeing frames of each pair on each diagonal that the step grid tests; start null: on all others.
+
+    Durations and lengths travel with the frames, so gates (`where` on d_a, d_b) and the grid act on frame pairs
+    as they arise and only counts are shuffled.
+    """
+    known = videos.select(F.col("id").alias("video_id"), duration().alias("d"), F.col("n_frames").alias("n"))
+    fp = frame_pairs(frames.select("video_id", "frame_idx", "h").join(known, "video_id"), threshold, ("d", "n")).where(where)
+    a_short = F.col("d_a") <= F.col("d_b")
+    start = F.when(a_short, F.col("ib") - F.col("ia")).otherwise(F.col("ia") - F.col("ib"))
+    last = F.when(a_short, F.col("n_b") - F.col("n_a")).otherwise(F.col("n_a") - F.col("n_b"))
+    rows = fp.select("va", "vb", start.alias("start"), last.alias("last"))
+    fits = (F.col("start") >= 0) & (F.col("start") <= F.col("last")) & (F.col("start") % step == 0)
+    return rows.groupBy(F.col("va").alias("a"), F.col("vb").alias("b"), F.when(fits, F.col("start")).alias("start")).agg(F.count("*").alias("hits"))
+
+
+def scored(counts: DataFrame, videos: DataFrame) -> DataFrame:
+    """Oriented pairs of diagonals' counts with `start`, `hits` of the best (ties to the first, null without one) and confidence."""
+    best = F.max(F.when(F.col("start").isNotNull(), F.struct("hits", (-F.col("start")).alias("minus"))))
+    top = counts.groupBy("a", "b").agg(best.alias("best")).select("a", "b", (-F.col("best.minus")).alias("start"), F.col("best.hits").alias("hits"))
+    return orient(top, videos).withColumn("confidence", F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0)))
+
+
 def compare(frames: DataFrame, videos: DataFrame, p: MatchParams, comparisons: DataFrame | None = None) -> DataFrame:
     """Eligible pairs with a confidence. Gates come before the frame pairs are scored."""
-    fp = frame_pairs(frames, p.threshold)
-    pairs = fp.select(F.col("va").alias("a"), F.col("vb").alias("b")).distinct()
-    if comparisons is not None:
-        pairs = uncompared(pairs, comparisons)
-    eligible, _ = gate(orient(pairs, videos), p)
-    return confidences(fp, eligible, p.frame_step)
+    where = f"least(d_a, d_b) >= {float(p.window)!r}" + (" and d_a <> d_b" if p.filter_length else "")
+    counts = diagonals(frames, videos, p.threshold, p.frame_step, where)
+    return scored(counts if comparisons is None else uncompared(counts, comparisons), videos)

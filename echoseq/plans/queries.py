@@ -206,8 +206,7 @@ def q_all_pairs_filter_length(spark, d):
 def scored(spark, d, step):
     f = docs(spark, d)
     v = Scratch(spark, "videos").table(S.videos_of(f), "videos")
-    fp = J.frame_pairs(f, 10)
-    return fp, M.orient(fp.select(F.col("va").alias("a"), F.col("vb").alias("b")).distinct(), v)
+    return M.scored(M.diagonals(f, v, 10, step), v)
 
 
 SLIDING = "SELECT pr.short_id, pr.long_id, coalesce(cf.confidence, 0.0) AS confidence FROM pr LEFT JOIN cf ON cf.short_id = pr.short_id AND cf.long_id = pr.long_id"
@@ -215,17 +214,17 @@ SLIDING = "SELECT pr.short_id, pr.long_id, coalesce(cf.confidence, 0.0) AS confi
 
 @query(with_(DOC_SQL, FP_SQL, DG_SQL, step=1) + SLIDING)
 def q_sliding_step1(spark, d):
-    return M.confidences(*scored(spark, d, 1), 1).select("short_id", "long_id", "confidence")
+    return scored(spark, d, 1).select("short_id", "long_id", "confidence")
 
 
 @query(with_(DOC_SQL, FP_SQL, DG_SQL) + SLIDING)
 def q_sliding_step3(spark, d):
-    return M.confidences(*scored(spark, d, 3), 3).select("short_id", "long_id", "confidence")
+    return scored(spark, d, 3).select("short_id", "long_id", "confidence")
 
 
 @query(with_(DOC_SQL, FP_SQL, DG_SQL, step=1) + "SELECT short_id, long_id, start, hits FROM (SELECT *, row_number() OVER (PARTITION BY short_id, long_id ORDER BY hits DESC, start) AS r FROM dg) WHERE r = 1")
 def q_best_offset(spark, d):
-    return M.best_offsets(*scored(spark, d, 1), 1)
+    return scored(spark, d, 1).where("start is not null").select("short_id", "long_id", "start", "hits")
 
 
 def matched(spark, d, **args):
@@ -267,7 +266,9 @@ def q_resume_anti(spark, d):
 
 @query(with_(DOC_SQL, FP_SQL) + "SELECT short_id, long_id, sd < 10 AS too_short FROM pr")
 def q_too_short_split(spark, d):
-    _, p = scored(spark, d, 3)
+    f = docs(spark, d)
+    v = Scratch(spark, "videos").table(S.videos_of(f), "videos")
+    p = M.orient(J.candidate_pairs(f, 10), v)
     eligible, short = M.gate(p, M.MatchParams())
     pick = lambda x, y: x.select("short_id", "long_id", F.lit(y).alias("too_short"))
     return pick(eligible, False).unionByName(pick(short, True))
