@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Shuffle files of a written table go when it is written, not when the driver collects its garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Arrow batches between the JVM and Python: at the default of 64 MB a task that takes and returns texts holds several
+#: copies of such a batch on either side.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+WRITING = {CLEAN_UP: "true", BATCH: "8m"}
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -43,12 +47,15 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back: lineage ends here, and a lost executor costs nothing before it."""
         path = self.path(name)
-        conf, was = self.spark.conf, self.spark.conf.get(CLEAN_UP, None)
-        conf.set(CLEAN_UP, "true")
+        conf = self.spark.conf
+        was = {k: conf.get(k, None) for k in WRITING}
+        for k, v in WRITING.items():
+            conf.set(k, v)
         try:
             df.write.mode("overwrite").parquet(path)
         finally:
-            conf.set(CLEAN_UP, was) if was is not None else conf.unset(CLEAN_UP)
+            for k, v in was.items():
+                conf.set(k, v) if v is not None else conf.unset(k)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
