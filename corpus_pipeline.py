@@ -12,6 +12,9 @@ from echoseq.llm import minhash, mixing, packing, substring, toxicity
 from echoseq.llm.common import Scratch, read
 from echoseq.session import ship
 
+#: Workers live on from stage to stage, so the tokenizer's cache is kept smaller here than in packing alone.
+CACHE_ENTRIES = 200_000
+
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity lexicon rejects go."""
@@ -44,7 +47,7 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of 2048 tokens."""
     ship(spark)
-    return packing.pack(spark, docs)
+    return packing.pack(spark, docs, cache_entries=CACHE_ENTRIES)
 
 
 STAGES = [("toxicity", keep_clean), ("near-duplicates", keep_one), ("substrings", cut_repeats), ("mixing", to_weights), ("packing", into_sequences)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents
-from .tokens import chunks, default_path
+from .tokens import CACHE_ENTRIES, chunks, default_path
 
 LENGTH = 2048
 #: A bin with no more than this much room left is done before the last level.
@@ -86,9 +86,9 @@ def bin_batches(bins):
         yield pa.RecordBatch.from_pylist(rows, BINS_ARROW)
 
 
-def pack_documents(path: str, length: int):
+def pack_documents(path: str, length: int, cache_entries: int):
     def run(batches):
-        cache, items = chunks(path), []
+        cache, items = chunks(path, cache_entries), []
         for rb in batches:
             for doc_id, text in zip(rb.column(0).to_pylist(), rb.column(1), strict=True):
                 for p in cut(doc_id, cache.ids(text.as_py()), length):
@@ -115,10 +115,10 @@ def pack_bins(length: int):
     return run
 
 
-def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
+def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, length: int = LENGTH, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece. cache_entries: encoded chunks that a worker keeps."""
     scratch = Scratch(spark, "packing")
-    level = scratch.table(documents(docs).mapInArrow(pack_documents(path or default_path(), length), BINS), "level")
+    level = scratch.table(documents(docs).mapInArrow(pack_documents(path or default_path(), length, cache_entries), BINS), "level")
     full = f"used > {length - NEARLY}"
     done, tasks, was = [level.where(full)], int(spark.conf.get("spark.sql.shuffle.partitions")), None
     while True:

@@ -21,9 +21,10 @@ END_ID = 0
 class Chunks(dict):
     """Chunk to the bytes of its ids, little-endian unsigned 32-bit."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int):
         from tokenizers import Tokenizer
 
+        self.entries = entries
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
@@ -34,7 +35,7 @@ class Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.encode(chunk)
-        if len(self) < CACHE_ENTRIES and len(chunk) <= CACHE_CHARS:
+        if len(self) < self.entries and len(chunk) <= CACHE_CHARS:
             self[chunk] = ids
         return ids
 
@@ -47,14 +48,14 @@ class Chunks(dict):
         return b"".join(map(self.__getitem__, CHUNK.findall(text))) + END_ID.to_bytes(4, "little")
 
 
-_open: dict[str, Chunks] = {}
+_open: dict[tuple[str, int], Chunks] = {}
 
 
-def chunks(path: str) -> Chunks:
-    """The worker's cache for the vocabulary file at path."""
-    if path not in _open:
-        _open[path] = Chunks(path)
-    return _open[path]
+def chunks(path: str, entries: int = CACHE_ENTRIES) -> Chunks:
+    """The worker's cache of at most `entries` chunks for the vocabulary file at path."""
+    if (path, entries) not in _open:
+        _open[path, entries] = Chunks(path, entries)
+    return _open[path, entries]
 
 
 def default_path() -> str:
