@@ -14,6 +14,7 @@ in links (component null, kept). Extra columns are ignored; an empty table gives
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -132,8 +133,8 @@ def similar_sets(x: bytes, y: bytes, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def classes(signed: DataFrame, payloads, accept, ratio: int, agree: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, component_id) where they differ, of `signed` (row, doc_id, digest, n, sketch, keys; a written table); equal digests count as one node."""
+def classes(signed: DataFrame, columns: list[str], link: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """(doc_id, component_id) where they differ, of `signed` (row, doc_id, digest, *columns; a written table); equal digests count as one node. link(nodes of id, *columns) gives (node, label)."""
     slim = signed.select("row", "doc_id", "digest").where("doc_id is not null and digest is not null")
     first = slim.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("row", "doc_id").alias("first_row"), F.count("*").alias("n"))
     first = scratch.table(first, "first")
@@ -141,8 +142,8 @@ def classes(signed: DataFrame, payloads, accept, ratio: int, agree: int, scratch
     copies = slim.join(first.where("n > 1").select("digest", "first_row"), "digest").where("row <> first_row").select("row")
     copies = scratch.table(copies, "copies")
     unique = signed.where("doc_id is not null and digest is not null").join(copies, "row", "left_anti")
-    nodes = unique.select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "sketch", "keys")
-    labels = link_classes(scratch.table(nodes, "nodes"), payloads, accept, ratio, agree, scratch)
+    nodes = unique.select(F.col("doc_id").alias("id"), *columns)
+    labels = link(scratch.table(nodes, "nodes"))
     member = first.join(labels.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or label is not null").select("digest", F.coalesce("label", "id").alias("component_id"))
     return slim.select("doc_id", "digest").join(member, "digest").where("doc_id <> component_id").select("doc_id", "component_id").distinct()
 
@@ -156,8 +157,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def payloads(ids: DataFrame) -> DataFrame:
         return docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(set_payloads, "id long, payload binary")
 
-    input_ = signed.select("row", "doc_id", "digest", F.col("n_shingles").alias("n"), "sketch", "keys")
-    found = scratch.table(classes(input_, payloads, similar_sets, PERCENT, AGREE, scratch), "moved")
+    def link(nodes: DataFrame) -> DataFrame:
+        return link_classes(nodes, payloads, similar_sets, PERCENT, AGREE, scratch)
+
+    input_ = signed.select("row", "doc_id", "digest", F.col("n_shingles").alias("size"), "sketch", "keys")
+    found = scratch.table(classes(input_, ["size", "sketch", "keys"], link, scratch), "moved")
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -222,6 +222,21 @@ def test_audio_classes(spark):
     assert chroma.recordings(spark, df.limit(0)).count() == 0
 
 
+def test_shifted_and_noisy_recordings_link(spark):
+    """None of these reaches a Jaccard similarity of 0.85 of the integers; overlap and bit errors alone decide."""
+    r = np.random.default_rng(5)
+    base = [tone(s) for s in range(40, 46)]
+    noisy = (base[1].astype(int) + r.integers(-3, 4, len(base[1]))).clip(0, 255).astype(np.uint8)
+    rows = [(i + 1, x.tobytes()) for i, x in enumerate(base)] + [(11, b"seven b" + base[0].tobytes()), (12, noisy.tobytes()), (13, base[2][200 * chroma.HOP // 8 + 3 :].tobytes())]
+    own = {i: codes(a) for i, a in rows}
+    for x, y in ((1, 11), (2, 12), (3, 13)):
+        a, b = np.unique(own[x]), np.unique(own[y])
+        both = len(np.intersect1d(a, b))
+        assert both < 0.85 * (len(a) + len(b) - both) and chroma.linked(own[x].tobytes(), own[y].tobytes())
+    got = {x.doc_id: x.class_id for x in chroma.recordings(spark, spark.createDataFrame(rows, "doc_id long, audio binary")).collect()}
+    assert got == {**{i: i for i in range(1, 7)}, 11: 1, 12: 2, 13: 3}
+
+
 def test_alignment():
     r = np.random.default_rng(2)
     a = r.integers(0, 2**32, 300, dtype=np.uint32)
