@@ -237,6 +237,14 @@ def test_shifted_and_noisy_recordings_link(spark):
     assert got == {**{i: i for i in range(1, 7)}, 11: 1, 12: 2, 13: 3}
 
 
+def test_short_copies_share_a_class(spark):
+    """Audio without integers: equal samples are one class, null and empty audio stay apart."""
+    x = tone(50, 800)
+    rows = [(1, x.tobytes()), (2, x.tobytes()), (3, wav(x)), (4, x[:-1].tobytes()), (5, b""), (6, b""), (7, None), (8, None), (None, x.tobytes())]
+    got = chroma.recordings(spark, spark.createDataFrame(rows, "doc_id long, audio binary")).collect()
+    assert {r.doc_id: (r.n_codes, r.class_id) for r in got if r.doc_id} == {i: (0, 1 if i in (2, 3) else i) for i in range(1, 9)} and len(got) == 9
+
+
 def test_alignment():
     r = np.random.default_rng(2)
     a = r.integers(0, 2**32, 300, dtype=np.uint32)
