@@ -1,9 +1,10 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every line of a file, and the file as a whole, is a candidate for a licence header or text. Weights
-are term frequency times ln((1 + N) / (1 + df)) + 1 with df over all files; a term that no template has
-weighs as one that no file has. Only lines that hold a term of a template's heaviest prefix are scored:
-by Cauchy-Schwarz no other line reaches the threshold, so nothing is lost.
+Every line of a file, every run of up to as many terms as the longest template has, across lines or within
+one, and the file as a whole are candidates for a licence header or text. Weights are term frequency times ln((1 + N) / (1 + df)) + 1 with df over all files; a term that no template has
+weighs as one that no file has. Only lines that hold a term of a template's heaviest prefix are scored, and
+runs only against templates of whose weight the terms around hold enough: by Cauchy-Schwarz nothing else reaches
+the threshold, so nothing is lost.
 
 A file takes the best of its own lines. A file without one takes that of the nearest ancestor directory
 which holds a licence file (LICENSE, LICENCE, COPYING, NOTICE with any ending) with a detected licence,
@@ -20,6 +21,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,13 +37,15 @@ TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License."],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License."],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. ISC License."],
 }
@@ -84,6 +88,7 @@ class Matcher:
                 self.prefix.add(t)
                 rest -= weight * weight
         self.prefix = sorted(self.prefix)
+        self.longest = max(len(terms(x)) for texts in templates.values() for x in texts)
 
     def unit(self, words: list[str]) -> dict[str, float]:
         v = {t: c * self.idf.get(t, self.rare) for t, c in Counter(words).items()}
@@ -100,8 +105,50 @@ class Matcher:
                 out = (s, name)
         return out
 
+    def runs(self, low: str) -> tuple[float, str] | None:
+        """The best over all runs of up to `longest` consecutive terms; None under the threshold."""
+        words = terms(low)
+        here = set(words)
+        near = [(name, u) for name, u in self.vectors if sum(x * x for t, x in u.items() if t in here) >= self.least**2 - 1e-9]
+        if not near:
+            return None
+        # Parts of the text around terms of these templates; a run that scores begins and ends with one, or is no worse without the rest.
+        wanted = {t for _, u in near for t in u}
+        at = [i for i, t in enumerate(words) if t in wanted]
+        out, lo = None, 0
+        for k in range(1, len(at) + 1):
+            if k < len(at) and at[k] - at[k - 1] < self.longest:
+                continue
+            part, lo = words[at[lo] : at[k - 1] + 1], k
+            here = set(part)
+            some = [(name, u) for name, u in near if sum(x * x for t, x in u.items() if t in here) >= self.least**2 - 1e-9]
+            found = self.best_run(part, some) if some else None
+            if found and (out is None or (-found[0], found[1]) < (-out[0], out[1])):
+                out = found
+        return out
+
+    def best_run(self, words: list[str], vectors: list[tuple[str, dict[str, float]]]) -> tuple[float, str] | None:
+        number: dict[str, int] = {}
+        ids = np.array([number.setdefault(t, len(number)) for t in words])
+        weight = np.array([self.idf.get(t, self.rare) for t in words])
+        gain = np.array([[u.get(t, 0.0) for _, u in vectors] for t in words]) * weight[:, None]
+        n, w2 = len(words), weight * weight
+        # Runs of size s that begin at i: the dots with the templates, the squared norm, and how often the last term occurred before.
+        dot, norm, seen, top = np.zeros((n, len(vectors))), np.zeros(n), np.zeros(n), np.zeros(len(vectors))
+        for s in range(min(self.longest, n)):
+            m = n - s
+            if s:
+                seen[s:] += ids[s:] == ids[:m]
+            dot, norm = dot[:m] + gain[s:], norm[:m] + w2[s:] * (2 * seen[s:] + 1)
+            np.maximum(top, (dot / np.sqrt(norm)[:, None]).max(0), out=top)
+        out = None
+        for (name, _), x in zip(vectors, np.round(top, 9).tolist(), strict=True):
+            if x >= self.least and (out is None or x > out[0]):
+                out = (x, name)
+        return out
+
     def scan(self, text: str | None) -> tuple[float, str] | None:
-        """The best over the lines of a text and the whole."""
+        """The best over the lines of a text, its runs of terms and the whole."""
         if not text:
             return None
         low = text.lower()
@@ -111,7 +158,7 @@ class Matcher:
         units = [x for x in low.split("\n") if any(t in x for t in near)]
         if len(units) != 1 or "\n" in low:
             units.append(low)
-        found = [x for x in map(self.best, units) if x]
+        found = [x for x in (*map(self.best, units), self.runs(low)) if x]
         return max(found, key=lambda x: (x[0], [-ord(c) for c in x[1]])) if found else None
 
 

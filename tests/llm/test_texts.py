@@ -236,3 +236,28 @@ def test_licenses(spark):
     assert got[4] == ("Apache-2.0", "directory", "a/b/c")
     assert got[6] == got[7] == got[9] == (None, None, None)
     assert licenses.scan(spark, files).count() == len(rows) and licenses.scan(spark, files.limit(0)).count() == 0
+
+
+def test_wrapped_and_embedded_licenses():
+    """Headers over several lines on top of code, and a statement inside a long line; runs against brute force."""
+    import textwrap
+
+    m = licenses.Matcher({}, 1000)
+    code = [f"x{k} = call{k}(y{k}, z{k})" for k in range(100)]
+    for name, texts in licenses.TEMPLATES.items():
+        for x in texts:
+            if name == "BSD-3-Clause" or len(x) > 60:
+                for width in (40, 50):
+                    wrapped = [f"# {y}" for y in textwrap.wrap(x, width)]
+                    assert m.scan("\n".join([*wrapped, *code])) == (1.0, name)
+    assert m.scan(" ".join([*code[:9], "Released under the MIT License.", *code[9:20]]))[1] == "MIT"
+    r = np.random.default_rng(3)
+    pool = [*licenses.terms(licenses.TEMPLATES["GPL-2.0"][1]), *licenses.terms(licenses.TEMPLATES["MIT"][0]), *[f"q{k}" for k in range(8)]]
+    hits = 0
+    for _ in range(60):
+        words = [*r.choice(pool, 12), *(x for x in licenses.terms("Released under the MIT License") if r.random() < 0.8), *r.choice(pool, 12)]
+        got = [b for i in range(len(words)) for j in range(i + 1, min(len(words), i + m.longest) + 1) if (b := m.best(" ".join(words[i:j])))]
+        want = min(got, key=lambda b: (-b[0], b[1])) if got else None
+        hits += want is not None
+        assert m.runs(" ".join(words)) == want
+    assert hits
