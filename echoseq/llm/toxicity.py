@@ -8,8 +8,8 @@ function, which gives the score.
 
 The lexicon and the logistic are learnt from labelled rows outside the held-out quarter (CRC-32 of
 doc_id as text, modulo 4, equal to 2); of those the SAMPLE with the least hash at most. Counts of word
-beginnings are made on the executors and only those with enough support come to the driver (MOST_TERMS
-at most). Without toxic labels the lexicon is SEED_TERMS.
+beginnings, in toxic and in clean rows, are made on the executors and filtered there by support and weight,
+so only terms that may enter the lexicon come to the driver. Without toxic labels the lexicon is SEED_TERMS.
 
 Null or empty text scores as a text without matches. Repeated rows score alike. Extra columns are
 ignored; labels, language, source and doc_id are no inputs of a score.
@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import Scratch, documents
 
-#: Bound on labelled rows that a model is fitted on, and on terms that come to the driver.
-SAMPLE, MOST_TERMS = 24_000, 20_000
+#: Bound on labelled rows that a model is fitted on.
+SAMPLE = 24_000
 THRESHOLD, HELD_OUT = 0.3, 2
 SUPPORT, SHORTEST, LONGEST, LEAST_WEIGHT = 4, 3, 9, 2.0
-MOST_PHRASES = 500
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһԛԝвкмнтαεικνορτυχβηρω", "aeopcyxijsdhqwbkmhtaeikvoptuxbhpw", strict=True))
@@ -167,36 +166,28 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     tox = labels.where("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(sample // 2)
     chosen = tox.unionByName(labels.where("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(sample // 2))
     rows = documents(docs).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    scratch = Scratch(spark, "toxicity")
 
     def support(batches):
-        n = Counter()
-        size = 0
+        """Rows that have a term, toxic (a) and clean (b); '' counts the rows."""
+        n, m = Counter(), Counter()
         for rb in batches:
             for y, t in zip(rb.column(0).to_pylist(), rb.column(1), strict=True):
-                if y:
-                    size += 1
-                    n.update(terms_of(fold(t.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(["", *n], pa.string()), pa.array([size, *n.values()], pa.int64())], ["term", "a"])
-
-    found = rows.mapInArrow(support, "term string, a long").groupBy("term").agg(F.sum("a").alias("a")).where(F.col("a") >= SUPPORT).orderBy(F.desc("a"), "term").limit(MOST_TERMS)
-    counts = {r["term"]: r["a"] for r in found.collect()}
-    toxic = counts.pop("", 0)
+                of = n if y else m
+                of[""] += 1
+                of.update(terms_of(fold(t.as_py())))
+        every = list(n.keys() | m.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([n[t] for t in every], pa.int64()), pa.array([m[t] for t in every], pa.int64())], ["term", "a", "b"])
+
+    found = scratch.table(rows.mapInArrow(support, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= SUPPORT), "terms")
+    total = found.where("term = ''").first()
+    toxic, clean = (total["a"], total["b"]) if total else (0, 0)
     if not toxic:
         return Lexicon({f" {t}": w for t, w in SEED_TERMS.items()}, EXCEPTIONS, (-4.0, 2.5, 0.0))
-    wanted = frozenset(counts)
-
-    def against(batches):
-        n = Counter()
-        for rb in batches:
-            for y, t in zip(rb.column(0).to_pylist(), rb.column(1), strict=True):
-                if not y:
-                    n[""] += 1
-                    n.update(wanted & terms_of(fold(t.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "b"])
-
-    other = {r["term"]: r["b"] for r in rows.mapInArrow(against, "term string, b long").groupBy("term").agg(F.sum("b").alias("b")).collect()}
-    clean = other.pop("", 0)
-    lexicon = Lexicon(choose({t: (a, other.get(t, 0)) for t, a in counts.items()}, toxic, clean), EXCEPTIONS, (0.0, 0.0, 0.0))
+    # choose() takes no other terms, whatever the rest of them is; the margin leaves rounding to it.
+    weight = F.log((F.col("a") + 0.1) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
+    counts = {r["term"]: (r["a"], r["b"]) for r in found.where((F.col("term") != "") & (F.col("a") >= 3 * F.col("b")) & (weight >= LEAST_WEIGHT - 1e-6)).collect()}
+    lexicon = Lexicon(choose(counts, toxic, clean), EXCEPTIONS, (0.0, 0.0, 0.0))
 
     def phrases(batches):
         """Matches with the word before or after, in clean rows and in toxic ones; and the features of each row."""
@@ -224,7 +215,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     # Equal rows are counted where they are: most texts have no match, and phrases must recur in clean texts.
     got = seen.groupBy("kind", "phrase", F.when(F.col("kind") == "f", F.col("n")).alias("label"), "x", "y").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("*").alias("c"))
     got = got.where((F.col("kind") == "f") | ((F.col("n") >= 5) & (F.col("m") == 0))).collect()
-    benign = sorted(((r["n"], r["phrase"]) for r in got if r["kind"] == "p"), key=lambda r: (-r[0], r[1]))[:MOST_PHRASES]
+    benign = sorted(((r["n"], r["phrase"]) for r in got if r["kind"] == "p"), key=lambda r: (-r[0], r[1]))
     feats = np.array([(r["label"], r["x"], r["y"], r["c"]) for r in got if r["kind"] == "f"])
     rep = np.repeat(feats[:, :3], feats[:, 3].astype(int), axis=0)
     return Lexicon(lexicon.terms, (*EXCEPTIONS, *(p for _, p in benign)), tuple(logistic(rep[:, 1:], rep[:, 0])))

@@ -213,6 +213,16 @@ def test_toxicity_learns_and_holds_out(spark):
     assert empty.terms and toxicity.score(docs.limit(0), empty).count() == 0
 
 
+def test_rare_toxic_terms_are_not_crowded_out(spark):
+    """More than 20,000 word beginnings are commoner in toxic rows than the rare toxic word, and as common in clean ones."""
+    ids = [i for i in range(60) if not toxicity.held_out(i)]
+    common = " ".join(f"{k:05d}".translate(str.maketrans("0123456789", "bcdfghjklm")) + "xyz" for k in range(9000))
+    rows = [(i, common + (" zorgling" if i in ids[:10:2] else ""), "s") for i in ids]
+    lab = spark.createDataFrame([(i, 0, int(k < 10 and k % 2 == 0 or 10 <= k < 14)) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    lex = toxicity.fit(spark, fixtures.documents(spark, rows, False, False), lab)
+    assert any(" zorgling ".startswith(t) for t in lex.terms) and not any(t.startswith(" bc") for t in lex.terms)
+
+
 def brute_license(matcher, text):
     units = [x for x in [*(text or "").split("\n"), text or ""] if x]
     got = [b for b in map(matcher.best, units) if b]
