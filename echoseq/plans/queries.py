@@ -67,7 +67,7 @@ def listing(v: DataFrame) -> DataFrame:
 
 
 def made_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Matches between documents with the same first line, chained in id order: cheap graph input."""
+    """Matches between documents with the same first line, each to the least id of its line: cheap graph input of stars."""
     f = S.line_frames(read(spark, d, "documents")).where("frame_idx = 0")
     g = f.groupBy("h").agg(F.min("video_id").alias("a")).join(f, "h").where("a < video_id")
     return g.select(F.col("video_id").alias("id"), F.col("a").alias("video_a_id"), F.col("video_id").alias("video_b_id"), F.lit("duplicate").alias("match_type"), F.lit(1.0).alias("confidence"), F.lit(0.0).alias("found_at"), F.when(F.col("video_id") % 11 == 0, 1).otherwise(0).alias("moved"))
