@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import basename, extension, group_number, stem
 from .graph import connected_components
+from .tables import in_order
 
 
 def groups(matches: DataFrame, table: Callable) -> DataFrame:
@@ -20,8 +21,7 @@ def groups(matches: DataFrame, table: Callable) -> DataFrame:
 def numbered(members: DataFrame, matches: DataFrame, base: int = 0) -> DataFrame:
     """(video_id, group_id): groups numbered from base + 1 in the order of their first match."""
     first = matches.where("moved = 0").select("id", F.col("video_a_id").alias("video_id")).join(members, "video_id").groupBy("label").agg(F.min("id").alias("first"))
-    # One row per group.
-    number = first.select("label", (F.row_number().over(Window.orderBy("first")) + base).cast("long").alias("group_id"))
+    number = in_order(first, [F.col("first")]).select("label", (F.col("before") + base + 1).cast("long").alias("group_id"))
     return members.join(number, "label").select("video_id", "group_id")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 
 def insert_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is new; repeats within rows count once."""
@@ -32,13 +34,30 @@ def flag_pairs(matches: DataFrame, ids: DataFrame, value: int, both: bool = True
     return t.select(*[F.when(hit, F.lit(value)).otherwise(F.col(c)).alias(c) if c == "moved" else F.col(c) for c in matches.columns])
 
 
+def in_order(df: DataFrame, order: list[Column], sums: tuple[str, ...] = ()) -> DataFrame:
+    """df with `before`: the number of rows before each in the given order, and for each column of `sums` what those rows add up
+    to, as <column>_before. Rows are range-partitioned and only one row a partition is brought together, so no task sees all.
+    Rows that the order doesn't tell apart may be in one task; the order should have no large ties."""
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    placed = Scratch(spark, "order").table(placed.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")), "placed")
+    # One row a partition.
+    per = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"), *[F.sum(c).alias(f"_{c}") for c in sums])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_part", "_first", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in ("n", *sums)])
+    out = placed.join(F.broadcast(per), "_part")
+    here = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    more = [(F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(here), F.lit(0))).alias(f"{c}_before") for c in sums]
+    return out.select(*df.columns, (F.col("_b_n") + F.col("_row") - F.col("_first")).alias("before"), *more)
+
+
 def register(videos: DataFrame, paths: DataFrame) -> DataFrame:
     """New paths as unprocessed videos; ids go on from the highest in path order."""
-    top = videos.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    new = paths.select("path").distinct().join(videos.select("path"), "path", "left_anti")
-    new = new.select("path", F.row_number().over(Window.orderBy("path")).alias("n")).join(F.broadcast(top), F.lit(True))
+    top = videos.agg(F.max("id")).first()[0] or 0
+    new = in_order(paths.select("path").distinct().join(videos.select("path"), "path", "left_anti"), [F.col("path")])
     null = lambda t: F.lit(None).cast(t)
-    return new.select((F.col("top") + F.col("n")).cast("long").alias("id"), "path", null("double").alias("duration"), null("double").alias("fingerprinted_at"), null("string").alias("moved_to"))
+    return new.select((F.col("before") + top + 1).cast("long").alias("id"), "path", null("double").alias("duration"), null("double").alias("fingerprinted_at"), null("string").alias("moved_to"))
 
 
 def unprocessed(videos: DataFrame) -> DataFrame:
