@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +28,26 @@ from .linking import link_classes
 
 U64 = np.uint64
 SHINGLE, PERCENT = 5, 85
-#: 36 bands of 7 coordinates: a pair at the threshold of 0.85 is missed with probability 9e-7, one at 0.9 with 7e-11.
-BINS, BANDS, ROWS = 256, 36, 7
-#: Of 256 four-bit coordinates a pair at 0.85 agrees in 220; 192 are five standard deviations less.
-AGREE = 192
+BINS = 256
+#: Probability at most with which the bands miss a pair at the threshold.
+MISS = 4e-6
 SEED, ADD = w.seeds(2 * BINS, 101) | U64(1), w.seeds(2 * BINS, 202)
-KEY, BAND = w.seeds(ROWS, 303) | U64(1), w.seeds(BANDS, 404)
+KEY, BAND = w.seeds(BINS, 303) | U64(1), w.seeds(BINS, 404)
 FULL = U64(w.MASK)
 
 
+def bands_for(percent: int) -> tuple[int, int]:
+    """(bands, rows): the most rows a band with which as many bands as fit miss a pair at the threshold with probability MISS or
+    less; 36 bands of 7 at 85 (9e-7), 42 of 6 at 80 (3e-6)."""
+    return next((BINS // r, r) for r in range(BINS, 0, -1) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISS or r == 1)
+
+
+def least_agreeing(percent: int) -> int:
+    """Equal four-bit coordinates five standard deviations under those of a pair at the threshold; 191 of 256 at 85, 176 at 80."""
+    p = percent / 100
+    return round(BINS * (p + (1 - p) / 16) - 5 * (BINS * p * (1 - p)) ** 0.5)
+
+
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every text, sorted within it, one text after the other; sizes of the sets."""
     data = w.LOWER[data]
@@ -44,7 +56,10 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tupl
     hashes = w.word_hashes(data, starts, ends)
     per = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
     at = w.ranges(first[:-1], per)
-    runs = w.run_hashes(hashes, at, np.repeat(np.minimum(n, size), per))
+    whole = np.repeat(n >= size, per)
+    runs = np.empty(len(at), U64)
+    runs[whole] = w.run_hashes(hashes, at[whole], size)
+    runs[~whole] = w.short_hashes(hashes, first[:-1][(n > 0) & (n < size)], n[(n > 0) & (n < size)])
     cut = np.cumsum(per)[:-1]
     sets = [np.unique(x) for x in np.split(runs, cut)]
     return (np.concatenate(sets) if sets else runs), np.array([len(x) for x in sets], np.int64)
@@ -81,10 +96,10 @@ def sketches(values: np.ndarray, sizes: np.ndarray, bins: int = BINS) -> np.ndar
     return out
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
+def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = (sketch[:, : BANDS * ROWS].reshape(len(sketch), BANDS, ROWS) * KEY).sum(2, dtype=U64)
-        return w.mix(x + BAND).view(np.int64)
+        x = (sketch[:, : bands * rows].reshape(len(sketch), bands, rows) * KEY[:rows]).sum(2, dtype=U64)
+        return w.mix(x + BAND[:bands]).view(np.int64)
 
 
 SIGNED = "doc_id long, n_shingles long, digest binary, sketch array<long>, keys array<long>"
@@ -95,9 +110,9 @@ def rows_of(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
 
 
-def sign(ids: pa.Array, values: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+def sign(ids: pa.Array, values: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> pa.RecordBatch:
     sk = sketches(values, sizes)
-    keys = band_keys(sk)
+    keys = band_keys(sk, bands, rows)
     raw, ends = values.tobytes(), np.cumsum(sizes) * 8
     digest = [hashlib.blake2b(raw[e - 8 * s : e], digest_size=16).digest() if s else None for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
     low = ((sk & U64(15)).reshape(len(sk), -1, 16) << (U64(4) * np.arange(16, dtype=U64))).sum(2, dtype=U64).view(np.int64)
@@ -107,10 +122,13 @@ def sign(ids: pa.Array, values: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch
     )
 
 
-def signatures(batches):
-    for rb in batches:
-        for lo, hi, data, off in text_steps(rb):
-            yield sign(ids_of(rb, lo, hi), *shingle_sets(data, off))
+def signatures(bands: int, rows: int):
+    def run(batches):
+        for rb in batches:
+            for lo, hi, data, off in text_steps(rb):
+                yield sign(ids_of(rb, lo, hi), *shingle_sets(data, off), bands, rows)
+
+    return run
 
 
 def set_payloads(batches):
@@ -122,6 +140,7 @@ def set_payloads(batches):
 
 
 def similar_sets(x: bytes, y: bytes, percent: int = PERCENT) -> bool:
+    """Whether 100 * intersection >= percent * union."""
     a, b = np.frombuffer(x, U64), np.frombuffer(y, U64)
     if len(a) > len(b):
         a, b = b, a
@@ -148,17 +167,17 @@ def classes(signed: DataFrame, columns: list[str], link: Callable[[DataFrame], D
     return slim.select("doc_id", "digest").join(member, "digest").where("doc_id <> component_id").select("doc_id", "component_id").distinct()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per document. percent: similarity from which on documents link."""
     scratch = Scratch(spark, "minhash")
     docs = documents(docs)
-    signed = scratch.table(docs.mapInArrow(signatures, SIGNED).withColumn("row", F.monotonically_increasing_id()), "signed")
+    signed = scratch.table(docs.mapInArrow(signatures(*bands_for(percent)), SIGNED).withColumn("row", F.monotonically_increasing_id()), "signed")
 
     def payloads(ids: DataFrame) -> DataFrame:
         return docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(set_payloads, "id long, payload binary")
 
     def link(nodes: DataFrame) -> DataFrame:
-        return link_classes(nodes, payloads, similar_sets, PERCENT, AGREE, scratch)
+        return link_classes(nodes, payloads, partial(similar_sets, percent=percent), percent, least_agreeing(percent), scratch)
 
     input_ = signed.select("row", "doc_id", "digest", F.col("n_shingles").alias("size"), "sketch", "keys")
     found = scratch.table(classes(input_, ["size", "sketch", "keys"], link, scratch), "moved")

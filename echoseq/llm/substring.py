@@ -93,7 +93,7 @@ def window_rows(batches):
             rel = np.concatenate(at) if at else doc
             begin = first[doc] + rel
             h1 = w.run_hashes(hashes, begin, WINDOW).view(np.int64)
-            h2 = w.run_hashes(hashes, begin, WINDOW, w.CHECK).astype(np.uint16).view(np.int16)
+            h2 = w.run_hashes(w.word_hashes(data, starts, ends, 1), begin, WINDOW).astype(np.uint16).view(np.int16)
             take = pa.array(doc + lo)
             yield pa.RecordBatch.from_arrays([rb.column(0).take(take), rb.column(1).take(take), pa.array(rel.astype(np.int32)), pa.array(h1), pa.array(h2)], ["k1", "k2", "start", "h1", "h2"])
 
@@ -150,14 +150,14 @@ def repeated_windows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     shared = anchors.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     # Written first: a join of two plain exchanges lets Spark split a seed that a third of all documents hold.
     shared = scratch.table(shared, "shared")
-    places = anchors.join(shared, "seed", "left_semi").groupBy("k1", "k2").agg(F.array_distinct(F.collect_list("pos")).alias("pos"))
+    places = anchors.join(shared, "seed", "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("pos"))
     places = scratch.table(places, "places")
     scratch.drop(anchors, shared)
     windows = keyed.join(places, ["k1", "k2"]).select("k1", "k2", "text", "pos").mapInArrow(window_rows, "k1 long, k2 long, start int, h1 long, h2 short")
     windows = scratch.table(windows, "windows")
     again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     again = scratch.table(again, "again")
-    starts = windows.join(again, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.array_distinct(F.collect_list("start")).alias("starts"))
+    starts = windows.join(again, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("start").alias("starts"))
     starts = scratch.table(starts, "starts")
     scratch.drop(windows, places, again)
     return starts

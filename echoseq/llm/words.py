@@ -1,12 +1,15 @@
 """Words, word hashes and hashes of word runs over UTF-8 buffers, vectorised with NumPy.
 
 A word is `[^\\x20\\x09-\\x0D]+`. These separators are single bytes that never occur inside a
-multi-byte character, so words are found on bytes. Hashes are polynomial modulo 2**64 with random
-byte values and an odd base, taken from prefix sums and then mixed.
+multi-byte character, so words are found on bytes. A word's hash takes its bytes eight at a time, each step mixed;
+long words go through BLAKE2. A run's hash mixes the words' hashes in the same way, so no structure of bytes or
+words (as that of polynomials modulo 2**64) makes unequal ones meet.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U64 = np.uint64
@@ -33,28 +36,10 @@ def seeds(n: int, salt: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(salt))
 
 
-BYTE = seeds(256, 17)
-
-
-class Powers:
-    """Powers of an odd base and of its inverse, extended as longer texts come."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            one = np.full(size, self.base, U64)
-            one[0] = 1
-            two = np.full(size, self.inverse, U64)
-            two[0] = 1
-            self.up, self.down = np.cumprod(one, dtype=U64), np.cumprod(two, dtype=U64)
-        return self.up[:n], self.down[:n]
-
-
-BYTES, RUNS, CHECK = Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95), Powers(0xA0761D6478BD642F)
+#: Bytes up to which a word is hashed in vectorised steps.
+LONG = 64
+STIR, ADD = seeds(2, 17) | U64(1), seeds(2, 18)
+TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [MASK], U64)
 
 
 def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,19 +63,48 @@ def counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.diff(spans(data, off)[2])
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = BYTES.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE[data] * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
-
-
-def run_hashes(words: np.ndarray, starts: np.ndarray, lengths, powers: Powers = RUNS) -> np.ndarray:
-    """Hash of words[start : start + length] for every start; lengths may be one number."""
-    up, down = powers.get(len(words) + 1)
-    total = np.zeros(len(words) + 1, U64)
-    np.cumsum(words * up[: len(words)], out=total[1:])
-    return mix((total[starts + lengths] - total[starts]) * down[starts] + np.asarray(lengths).astype(U64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of each word; another salt (0 or 1) gives another one."""
+    size = ends - starts
+    out = mix(size.astype(U64) * STIR[salt] + ADD[salt])
+    eight = np.ndarray(len(data) + 1, "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    live = np.flatnonzero(size <= LONG)
+    at, left = starts[live], size[live]
+    while len(live):
+        x = eight[at] & TAIL[np.minimum(left, 8)]
+        out[live] = mix((out[live] ^ x) * STIR[salt] + ADD[salt])
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([salt])).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix((left * STIR[0]) ^ (mix(right + ADD[0]) * STIR[1]))
+
+
+def run_hashes(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hash of words[start : start + length] for every start, by doubling: runs of a power of two cover it."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    size, x = 1, words
+    while size * 2 <= length:
+        x = joined(x[:-size], x[size:])
+        size *= 2
+    return mix(joined(x[starts], x[starts + length - size]) + U64(length))
+
+
+def short_hashes(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of words[start : start + length] for lengths that differ; made for short runs."""
+    out = mix(lengths.astype(U64) + ADD[1])
+    live, k = np.flatnonzero(lengths > 0), 0
+    while len(live):
+        out[live] = joined(out[live], words[starts[live] + k])
+        k += 1
+        live = live[lengths[live] > k]
+    return out
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
