@@ -26,6 +26,7 @@ from .tokens import chunks, default_path
 
 HEAD = struct.Struct("<BqQ")
 SHARD_BYTES = 256 << 20
+MOST_TASKS = 50_000
 INDEX_MAGIC = b"LDRINDEX"
 MANIFEST = "shard string, records long, tokens long, bytes long"
 
@@ -153,7 +154,7 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     # One row per shard: a running sum over file metadata.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.select("shard", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    return shards.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").mapInArrow(read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartitionByRange(max(1, min(MOST_TASKS, manifest.count())), "shard").mapInArrow(read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -3,7 +3,8 @@
 Byte-level BPE never joins a character with white space that follows it, nor a letter with a comma
 or full stop that follows it. So a text is cut there, each distinct chunk is encoded by the library
 once per Python worker, and a text's ids are its chunks' ids in order. Texts with white space other than
-space and newline go to the library whole.
+space and newline, and texts that hold the string of an added token of the vocabulary, go to the library whole:
+the library gives such a string its one id, wherever it stands.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ class Chunks(dict):
 
         self.entries = entries
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -43,7 +44,7 @@ class Chunks(dict):
         """Ids of a text with the end id, as little-endian unsigned 32-bit integers."""
         if not text:
             return END_ID.to_bytes(4, "little")
-        if ODD_SPACE.search(text):
+        if ODD_SPACE.search(text) or any(t in text for t in self.added):
             return self.encode(text) + END_ID.to_bytes(4, "little")
         return b"".join(map(self.__getitem__, CHUNK.findall(text))) + END_ID.to_bytes(4, "little")
 
