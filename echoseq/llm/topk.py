@@ -8,7 +8,10 @@ the smaller id. Scores are integer inner products of floor(64 * x).
 
 Vectors that are null, hold a null or non-finite component, or have another length than the most
 common one take no part, nor does a null id. Candidates with the query's own id are left out. Other
-repeated rows count each. With fewer candidates than k all are returned. An empty table gives none.
+repeated rows count each: a query row has a ranking of its own, also if its id repeats, and a repeated candidate
+takes a rank each time. With fewer candidates than k all are returned. An empty
+table gives none. Products are exact whatever the size of components; a score that 64 bits can't hold counts as
+the largest number of its sign, 2**63 - 1, that they can.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from .common import Scratch
 K, EVERY, SCALE = 20, 20, 64.0
 BLOCK, STEP, BINS = 4096, 256, 256
 BLOCKS = "block long, n long, norm double, ids binary, vecs binary"
+#: The largest score in size, and the norm from which on vectors are packed apart, since their products may exceed it.
+TOP, HUGE = (1 << 63) - 1, float(1 << 30)
 
 
 def vectors(rb: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,10 +51,14 @@ def pack(dim: int, only: int | None = None):
         ids, vecs, held, number = [], [], 0, partition_number() << 32
 
         def out():
+            nonlocal number
             i, v = np.concatenate(ids), np.concatenate(vecs)
-            for lo in range(0, len(i), BLOCK):
-                a, b = i[lo : lo + BLOCK], v[lo : lo + BLOCK]
-                yield pa.RecordBatch.from_arrays([pa.array([number + lo // BLOCK], pa.int64()), pa.array([len(a)], pa.int64()), pa.array([float(np.sqrt((b * b).sum(1).max()))]), pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], ["block", "n", "norm", "ids", "vecs"])
+            huge = norms(v) >= HUGE
+            cut = [np.flatnonzero(x)[lo : lo + BLOCK] for x in (~huge, huge) for lo in range(0, int(x.sum()), BLOCK)]
+            for rows in cut:
+                a, b = i[rows], v[rows]
+                number += 1
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(a)], pa.int64()), pa.array([float(norms(b).max())]), pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], ["block", "n", "norm", "ids", "vecs"])
 
         for rb in batches:
             i, v = vectors(rb, dim)
@@ -60,7 +69,6 @@ def pack(dim: int, only: int | None = None):
             held += len(i)
             if held >= BLOCK:
                 yield from out()
-                number += -(-held // BLOCK)
                 ids, vecs, held = [], [], 0
         if held:
             yield from out()
@@ -68,9 +76,29 @@ def pack(dim: int, only: int | None = None):
     return run
 
 
-def scores(q: np.ndarray, c: np.ndarray, exact: bool) -> np.ndarray:
-    """Integer inner products; doubles hold them exactly while they stay below 2**53."""
-    return q @ c.T if exact else (q.astype(np.int64) @ c.astype(np.int64).T)
+def norms(v: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        top = np.abs(v).max(1, initial=0.0, keepdims=True)
+        return (top * np.sqrt(((v / np.maximum(top, 1.0)) ** 2).sum(1, keepdims=True)))[:, 0]
+
+
+def scores(q: np.ndarray, c: np.ndarray, bound: float) -> np.ndarray:
+    """Integer inner products of at most `bound`; doubles hold them exactly below 2**53, 64-bit integers below 2**63, beyond that Python's do."""
+    if bound < 2**52:
+        return q @ c.T
+    if bound < 2**62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    whole = lambda x: np.array([[int(y) for y in r] for r in x.tolist()], object).reshape(x.shape)
+    return np.clip(whole(q) @ whole(c).T, -TOP, TOP).astype(np.int64)
+
+
+def bins_of(s: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Bins of scores; under the range -1. Scores over it were over it in the pass before and count as of its last bin."""
+    if s.dtype.kind == "f":
+        return np.clip(np.floor_divide(s - low[:, None], width[:, None]), -1, BINS - 1)
+    # The difference of two 64-bit integers, exact as an unsigned one.
+    far = (s - low[:, None]).view(np.uint64) // width[:, None].astype(np.uint64)
+    return np.where(s < low[:, None], -1, np.minimum(far, np.uint64(BINS - 1)).astype(np.int64))
 
 
 def pairs_of(rb: pa.RecordBatch, dim: int):
@@ -79,10 +107,10 @@ def pairs_of(rb: pa.RecordBatch, dim: int):
         qi, ci = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["cids"], np.int64)
         q, c = np.frombuffer(r["vecs"]).reshape(-1, dim), np.frombuffer(r["cvecs"]).reshape(-1, dim)
         low, width = np.frombuffer(r["low"], np.int64), np.frombuffer(r["width"], np.int64)
-        exact = r["norm"] * r["cnorm"] < 2**52
+        bound = r["norm"] * r["cnorm"]
         for lo in range(0, len(qi), STEP):
             s = slice(lo, lo + STEP)
-            yield r["block"], np.arange(lo, min(lo + STEP, len(qi))), qi[s], low[s], width[s], scores(q[s], c, exact), ci
+            yield r["block"], np.arange(lo, min(lo + STEP, len(qi))), qi[s], low[s], width[s], scores(q[s], c, bound), ci
 
 
 def top_counts(k: int, dim: int):
@@ -91,9 +119,7 @@ def top_counts(k: int, dim: int):
     def run(batches):
         for rb in batches:
             for block, pos, qi, low, width, s, ci in pairs_of(rb, dim):
-                b = np.floor_divide(s - low[:, None], width[:, None])
-                # Scores over the range were over it in the pass before; they count as of its last bin.
-                b = np.minimum(b, BINS - 1)
+                b = bins_of(s, low, width)
                 b[qi[:, None] == ci[None, :]] = -1
                 if s.shape[1] > k:
                     edge = np.partition(b, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
@@ -136,8 +162,11 @@ def start(norm: float, dim: int):
         for rb in batches:
             for r in rb.to_pylist():
                 v = np.frombuffer(r["vecs"]).reshape(-1, dim)
-                bound = np.ceil(np.sqrt((v * v).sum(1)) * norm).astype(np.int64) + 1
-                width = -(-(2 * bound + 1) // BINS)
+                with np.errstate(over="ignore"):
+                    far = np.ceil(norms(v) * norm * (1 + 1e-9)) + 1
+                bound = np.where(far < 2**62, far, 0).astype(np.int64)
+                bound[far >= 2**62] = TOP
+                width = bound // (BINS // 2) + 1
                 yield pa.RecordBatch.from_pylist([r | {"low": (-bound).tobytes(), "width": width.tobytes(), "open": len(v)}])
 
     return run
@@ -148,14 +177,14 @@ def survivors(k: int, dim: int):
 
     def run(batches):
         for rb in batches:
-            for _, _, qi, low, _, s, ci in pairs_of(rb, dim):
+            for block, pos, qi, low, _, s, ci in pairs_of(rb, dim):
                 ok = (s >= low[:, None]) & (qi[:, None] != ci[None, :])
                 row, col = np.nonzero(ok)
                 sc = s[row, col].astype(np.int64)
                 order = np.lexsort((ci[col], -sc, row))
                 row, col, sc = row[order], col[order], sc[order]
                 keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-                yield pa.RecordBatch.from_arrays([pa.array(qi[row[keep]]), pa.array(ci[col[keep]]), pa.array(sc[keep])], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), block)), pa.array(pos[row[keep]]), pa.array(qi[row[keep]]), pa.array(ci[col[keep]]), pa.array(sc[keep])], ["block", "pos", "query_id", "vec_id", "score"])
 
     return run
 
@@ -187,6 +216,6 @@ def top_k(spark: SparkSession, embeddings: DataFrame, k: int = K, every: int = E
         state = scratch.table(state.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(refine(k), STATE), "queries")
         if not state.agg(F.sum("open")).first()[0]:
             break
-    found = meet(state).mapInArrow(survivors(k, dim), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = meet(state).mapInArrow(survivors(k, dim), "block long, pos long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "block", "pos").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
