@@ -17,6 +17,7 @@ ignored; labels, language, source and doc_id are no inputs of a score.
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections import Counter
@@ -108,14 +109,21 @@ class Lexicon:
         if not len(auto):
             return []
         best: dict[int, float] = {}
-        covered = []
+        covered: list[list[int]] = []
+        # Phrases come by their ends; one that begins in those before it is joined to them.
         for end, (size, weight) in auto.iter(folded):
             start = end - size + 1
             if weight is None:
-                covered.append((start, end))
+                while covered and covered[-1][1] >= start:
+                    start = min(start, covered.pop()[0])
+                covered.append([start, end])
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        return [(s, w) for s, w in best.items() if not any(a <= s < b for a, b in covered)]
+        if not covered:
+            return list(best.items())
+        begins = [a for a, _ in covered]
+        at = [(s, w, bisect.bisect_right(begins, s) - 1) for s, w in best.items()]
+        return [(s, w) for s, w, k in at if k < 0 or s >= covered[k][1]]
 
     def features(self, folded: str) -> tuple[float, float]:
         total = sum(w for _, w in self.matches(folded))
