@@ -28,6 +28,7 @@ from .shards import partition_number, reader, writer
 
 LEAST_PAYLOAD = 100
 SHARD_BYTES = 128 << 20
+MOST_TASKS = 50_000
 #: Fields of a header line by version, as the version block of the file spells them.
 FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -246,17 +247,25 @@ def read_pages(batches):
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
 
+def spread(shards: DataFrame, tasks: int) -> DataFrame:
+    """Shards in the order of their names, dealt evenly over tasks. A repartition by the shard itself would be dropped after a
+    join on it, and what such a join leaves is joined into few tasks by the size of the manifest, not of the files."""
+    return shards.repartitionByRange(tasks, "shard")
+
+
 def archive(spark: SparkSession, pages: DataFrame, date: str = "20240101000000") -> DataFrame:
     """Writes pages as ARC, converts to WARC with revisits, reads back: one row per page."""
     scratch = Scratch(spark, "warc")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     arcs = scratch.table(pages.mapInArrow(write_arcs(scratch.path("arc"), date), "shard string, records long"), "arcs")
-    seen = scratch.table(arcs.select("shard").repartition(parts, "shard").mapInArrow(payload_digests, "shard string, place long, page_id long, payload_bytes long, digest string"), "digests")
+    # A task a shard, up to a number that the scheduler bears.
+    tasks = max(1, min(MOST_TASKS, arcs.count()))
+    seen = scratch.table(spread(arcs.select("shard"), tasks).mapInArrow(payload_digests, "shard string, place long, page_id long, payload_bytes long, digest string"), "digests")
     long = seen.where(F.col("payload_bytes") >= LEAST_PAYLOAD)
     first = long.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "shard", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     again = long.join(first, "digest").where(~(F.col("first.shard").eqNullSafe(F.col("shard")) & F.col("first.place").eqNullSafe(F.col("place"))))
     again = again.groupBy("shard").agg(F.collect_list(F.struct("place", F.col("first.page_id").alias("refers_to"))).alias("again"))
-    todo = arcs.select("shard").join(again, "shard", "left").repartition(parts, "shard")
-    warcs = scratch.table(todo.mapInArrow(convert_shards(scratch.path("warc")), "shard string"), "warcs")
-    return warcs.repartition(parts, "shard").mapInArrow(read_pages, PAGES)
+    # Written first, so the range bounds don't take the join a second time.
+    todo = scratch.table(arcs.select("shard").join(again, "shard", "left"), "todo")
+    warcs = scratch.table(spread(todo, tasks).mapInArrow(convert_shards(scratch.path("warc")), "shard string"), "warcs")
+    return spread(warcs, tasks).mapInArrow(read_pages, PAGES)
