@@ -1,28 +1,34 @@
 """Mixing sources to target weights by systematic sampling.
 
-A source's rate is its target over its size in words. Its documents are put in order of size, their
+A source's rate is its target over its size in words. Its documents are put in order of size class, their
 expected copies (the rate each) are prefix-summed, one random offset is added per source, and a
-document is emitted once per integer boundary crossed. The order by size stratifies the sample, so
-the words taken come near the target. Places in the order come from a range partitioning and small
-per-partition counts, so a source with a third of all rows is spread over many tasks.
+document is emitted once per integer boundary crossed. The order by size stratifies the sample. The offset is drawn
+OFFSETS times, as hashes of source, seed and number, and the draw whose words come nearest the target is taken, at
+every size of source; so a source of few documents comes near its target too, as far as whole documents can, and reruns agree.
+
+Places in the order come from a range partitioning and small per-partition counts, so a source with a third of all
+rows is spread over many tasks, and no task sees all sources, which may be very many.
 
 Targets: weights repeat over the sources by code point, null last; no target exceeds `most` times its
 source's size, and the excess is shared again by weight among the others. Null text: size 0. A source
-of size 0 has target 0 and takes nothing. Repeated rows count each. The offset is a hash of the source
-and the seed, so reruns agree.
+of size 0 has target 0 and takes nothing. Repeated rows count each; equal rows may differ in copies. An empty table
+gives none; extra columns are ignored by `mix` and carried by `emit`.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as w
 from .common import Scratch, text_steps
 
 WEIGHTS, MOST, SEED = (5.0, 2.0, 1.0), 3.0, 7
+#: Draws of a source's offset, and size classes to a doubling of the size.
+OFFSETS, CLASSES = 32, 4
 SIZED = "doc_id long, source string, textkey long, size long"
 
 
@@ -32,59 +38,89 @@ def sizes(batches):
         yield pa.RecordBatch.from_arrays([*rb.columns[:3], pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64())], ["doc_id", "source", "textkey", "size"])
 
 
-def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """(source, source_size) to (source, source_size, target), by closed form.
+def weighted(counts: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """(source, part, words) of a range partitioning by source, null last, to (source, source_size, weight): weights repeat over the sources in that order."""
+    by = counts.groupBy("source").agg(F.min("part").alias("part"), F.sum("words").alias("source_size"))
+    # Sources that begin in earlier partitions: one row a partition.
+    new = by.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("n"))
+    new = new.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    here = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").isNull(), "source")) - 1
+    by = by.withColumn("here", here).join(F.broadcast(new), F.col("part") == F.col("p"))
+    pick = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("earlier") + F.col("here")) % len(weights) + 1).cast("int"))
+    return by.select("source", "source_size", pick.alias("weight"))
+
+
+def targets(sources: DataFrame, most: float = MOST) -> DataFrame:
+    """(source, source_size, weight), a written table, to these with `target`.
 
-    A source is full when its fair share reaches `most` times its size. Sorted by size over weight, the
-    full ones are a prefix: the first place where the rest of the total, shared by weight among this and
-    later sources, stays below the bound ends it. Places and sums over the sources are running sums over
-    one row per source.
+    Sources whose share of what is left, by weight, exceeds `most` times their size are full; the rest is shared again among the
+    others until no further one is. The share of a unit of weight only grows, so this ends; each round is one sum over the sources.
     """
-    n = len(weights)
-    by_code = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    pick = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(by_code) - 1) % n + 1).cast("int"))
-    s = by_source.withColumn("weight", pick)
-    order = Window.orderBy((F.col("source_size") / F.col("weight")), F.col("source").isNull(), "source")
-    s = s.withColumn("before", F.coalesce(F.sum("source_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    s = s.withColumn("rest_weight", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    whole = Window.partitionBy()
-    s = s.withColumn("total", F.sum("source_size").over(whole))
-    s = s.withColumn("level", (F.col("total") - F.lit(most) * F.col("before")) / F.col("rest_weight"))
-    s = s.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.lit(most) * F.col("source_size"), F.struct(F.col("source_size") / F.col("weight"), F.col("level").alias("level")))).over(whole)["level"])
-    full = F.lit(most) * F.col("source_size")
-    return s.select("source", "source_size", F.least(full, F.coalesce(F.col("level") * F.col("weight"), full)).cast("double").alias("target"))
+    size, weight, full = F.col("source_size"), F.col("weight"), F.lit(most) * F.col("source_size")
+    total, units, level, n = *sources.agg(F.sum(size), F.sum(weight)).first(), None, -1
+    if total:
+        level = total / units
+        while True:
+            over = full < F.lit(level) * weight
+            used, taken, now = sources.agg(F.sum(F.when(over, size)), F.sum(F.when(over, weight)), F.count(F.when(over, 1))).first()
+            if now in (n, 0) or units <= taken:
+                break
+            n, level = now, (total - most * used) / (units - taken)
+    share = F.lit(level).cast("double") * weight
+    return sources.select("*", F.least(full, F.coalesce(share, full)).cast("double").alias("target"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, source, textkey (hash of the text), size, source_size, target, copies, taken: one row per document."""
+def copies_at(offset: Column, most: float) -> Column:
+    """Integer boundaries that row i crosses at an offset."""
+    n = F.floor((F.col("i") + 1) * F.col("rate") + offset) - F.floor(F.col("i") * F.col("rate") + offset)
+    return F.least(n.cast("long"), F.lit(int(np.ceil(most))).cast("long"))
+
+
+def offset(source: str, seed: int, draw: Column) -> Column:
+    return F.pmod(F.xxhash64(F.col(source), F.lit(seed), draw.cast("int")), F.lit(1 << 32)) / F.lit(float(1 << 32))
+
+
+def take(spark: SparkSession, base: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
+    """base (doc_id, source, textkey, text) to doc_id, source, textkey, size, source_size, target, copies, taken."""
     scratch = Scratch(spark, "mixing")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("textkey"), F.col("text").cast("string").alias("text"))
     sized = scratch.table(base.mapInArrow(sizes, SIZED), "sizes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # textkey and doc_id break ties, so equal sizes of one source need not meet in one task.
-    ordered = sized.repartitionByRange(parts, F.col("source"), F.col("size"), F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"), F.col("textkey"))
-    ordered = ordered.sortWithinPartitions(F.col("source"), F.col("size"), F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"), F.col("textkey"))
+    # The hash, doc_id and textkey break ties, so equal sizes of one source need not meet in one task.
+    order = [F.col("source").isNull(), F.col("source"), F.floor(CLASSES * F.log2(F.col("size") + F.lit(1.0))), F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"), F.col("textkey")]
+    ordered = sized.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ordered = scratch.table(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "ordered")
     counts = ordered.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = scratch.table(counts.select("source", "part", "first", "words", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "counts")
-    goal = targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    goal = goal.withColumnRenamed("source", "g")
-    place = counts.join(goal, F.col("source").eqNullSafe(F.col("g"))).select(F.col("source").alias("s"), F.col("part").alias("p"), "first", "before", "source_size", "target")
-    out = ordered.join(place, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    sources = scratch.table(weighted(counts, weights), "sources")
+    goal = targets(sources, most).withColumnRenamed("source", "g")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
-    start = F.pmod(F.xxhash64("s", F.lit(seed)), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    i = F.col("row") - F.col("first") + F.col("before")
-    out = out.withColumn("rate", rate).withColumn("start", start).withColumn("i", i)
-    copies = (F.floor((F.col("i") + 1) * F.col("rate") + F.col("start")) - F.floor(F.col("i") * F.col("rate") + F.col("start"))).cast("long")
-    copies = F.least(copies, F.lit(int(np.ceil(most))))
-    return out.select("doc_id", "source", "textkey", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-
-
-def emit(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, all columns, each as often as the mix takes it. Rows that repeat doc_id, source and text are emitted as often as all of them together."""
-    base = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("k2"), F.xxhash64(F.col("text").cast("string")).alias("k3")]
-    mixed = mix(spark, docs, **how).where("copies > 0")
-    plan = mixed.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k1"), F.coalesce("source", F.lit("\0")).alias("k2"), F.col("textkey").alias("k3")).agg(F.sum("copies").cast("int").alias("copies"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *base).join(plan, ["k1", "k2", "k3"]).dropDuplicates(["k1", "k2", "k3"])
+    place = counts.join(goal, F.col("source").eqNullSafe(F.col("g"))).select(F.col("source").alias("s"), F.col("part").alias("p"), "first", "before", "source_size", "target", rate.alias("rate"))
+
+    def met(place: DataFrame) -> DataFrame:
+        out = ordered.join(place, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+        return out.withColumn("i", F.col("row") - F.col("first") + F.col("before"))
+
+    drawn = met(place).select("s", "i", "rate", "size", "target", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))).alias("draw"))
+    drawn = drawn.groupBy("s", "draw").agg(F.abs(F.sum(copies_at(offset("s", seed, F.col("draw")), most) * F.col("size")) - F.first("target")).alias("miss"))
+    best = scratch.table(drawn.groupBy(F.col("s").alias("b")).agg(F.min(F.struct("miss", "draw"))["draw"].alias("draw")), "draws")
+    place = place.join(best, F.col("s").eqNullSafe(F.col("b"))).select(*place.columns, offset("s", seed, F.col("draw")).alias("start"))
+    copies = copies_at(F.col("start"), most)
+    return met(place).select("doc_id", "source", "textkey", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """doc_id, source, textkey (hash of the text), size, source_size, target, copies, taken: one row per document."""
+    text = F.col("text").cast("string")
+    return take(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("textkey"), text.alias("text")), weights, most, seed)
+
+
+def emit(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it; rows that are equal in all columns (maps apart) as often as all of them together."""
+    doc_id, source, text = F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")
+    whole = F.xxhash64(*[docs[f.name] for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    mixed = take(spark, docs.select(doc_id.alias("doc_id"), source.alias("source"), whole.alias("textkey"), text.alias("text")), weights, most, seed).where("copies > 0")
+    one = lambda i, s: [F.coalesce(i, F.lit(-(1 << 63))).alias("k1"), F.coalesce(s, F.lit("\0")).alias("k2")]
+    plan = mixed.groupBy(*one(F.col("doc_id"), F.col("source")), F.col("textkey").alias("k3")).agg(F.sum("copies").cast("int").alias("copies"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *one(doc_id, source), whole.alias("k3")).join(plan, ["k1", "k2", "k3"]).dropDuplicates(["k1", "k2", "k3"])
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("row")[c].alias(c) for c in docs.columns])
