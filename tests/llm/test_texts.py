@@ -121,6 +121,50 @@ def test_cut_texts_keeps_columns(spark):
     assert got[10].row == "y" and len(got[10].text.split()) == 90
 
 
+def thue_morse(n, one, two):
+    return "".join((one, two)[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_structured_words_do_not_collide(spark):
+    """Words over which polynomial hashes modulo 2**64 are equal for any base; and runs of words of that kind."""
+    x, y = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    tail = " ".join(f"t{k}" for k in range(40))
+    rows = [(1, x, "s"), (2, y, "s"), (3, f"{x} {tail}", "s"), (4, f"{y} {tail}", "s"), (5, " ".join(x), "s"), (6, " ".join(y), "s")]
+    docs = fixtures.documents(spark, rows, False, False)
+    want = brute_classes([(i, t) for i, t, _ in rows])
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark, docs).collect()} == want
+    got = [tuple(r) for r in substring.removed(spark, docs).collect()]
+    assert fixtures.plain(got) == fixtures.plain(brute_removed(rows))
+
+
+def test_word_hashes_depend_on_every_byte():
+    base = "abcdefghijklmnopqrstuvwxyz0123456789" * 3
+    texts = {base[:k] for k in range(1, 108)} | {base[:k] + "X" + base[k + 1 : n] for n in (5, 8, 9, 16, 17, 63, 64, 65, 100) for k in range(n)}
+    data = np.frombuffer(" ".join(sorted(texts)).encode(), np.uint8)
+    s, e, _ = words.spans(data, np.array([0, len(data)]))
+    one, two = words.word_hashes(data, s, e), words.word_hashes(data, s, e, 1)
+    assert len(np.unique(one)) == len(texts) == len(np.unique(two)) and not (one == two).any()
+    moved = np.concatenate([np.frombuffer(b"zz ", np.uint8), data])
+    assert np.array_equal(words.word_hashes(moved, s + 3, e + 3), one)
+    for n in (1, 2, 5, 16, 35):
+        runs = words.run_hashes(one, np.arange(len(one) - n + 1), n)
+        assert len(np.unique(runs)) == len(runs)
+        assert np.array_equal(words.run_hashes(one[3:], np.arange(len(one) - n - 2), n), runs[3:])
+
+
+def test_near_duplicates_at_eighty(spark):
+    """Pairs between 0.80 and 0.85 link at 80 and not at 85."""
+    import random
+
+    base = fixtures.words(8, 216)
+    rows = [(1, " ".join(base), "s"), (2, " ".join(w if k not in (20, 60, 100, 140) else "q" for k, w in enumerate(base)), "s"), (3, " ".join(random.Random(2).sample(base, 216)), "s")]
+    both = len(shingles(rows[0][1]) & shingles(rows[1][1])) / len(shingles(rows[0][1]) | shingles(rows[1][1]))
+    assert 0.8 <= both < 0.85
+    docs = fixtures.documents(spark, rows, False, False)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(spark, docs, 80).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(spark, docs).collect()} == {1: 1, 2: 2, 3: 3}
+
+
 def test_winnowing_always_keeps_a_seed():
     h = words.mix(np.arange(1, 401, dtype=np.uint64) % np.uint64(7))
     first = np.array([0, 34, 69, 400])
@@ -173,6 +217,26 @@ def test_mixing_comes_near_targets(spark):
     assert all(abs(taken / target - 1) < 0.02 for target, taken in by.values())
 
 
+def test_mixing_of_few_documents_comes_near_targets(spark):
+    """Twenty sources of some fifty documents with a heavy tail of sizes."""
+    import random
+
+    r = random.Random(9)
+    rows = [(i, " ".join(["w"] * int(min(3000, 20 * r.paretovariate(0.9)))), f"s{i % 20}") for i in range(1000)]
+    by = collections.defaultdict(lambda: [0.0, 0])
+    for x in mixing.mix(spark, fixtures.documents(spark, rows, False, False)).collect():
+        by[x.source][0] = x.target
+        by[x.source][1] += x.taken
+    misses = sorted(abs(taken / target - 1) for target, taken in by.values())
+    assert misses[10] < 0.03 and misses[-1] < 0.15
+
+
+def test_emit_keeps_rows_that_differ_in_other_columns(spark):
+    """Rows of one doc_id, source and text with other languages are rows of their own."""
+    rows = spark.createDataFrame([(1, "a b c", lang, "s", 5) for lang in ("en", "de", "fr", "en")], "doc_id long, text string, lang string, source string, n_chars long")
+    assert fixtures.plain(r.lang for r in mixing.emit(spark, rows).collect()) == ["de", "en", "en", "fr"]
+
+
 def test_fold():
     assert toxicity.fold("ІDІОТ, you 1d10t! Stu​pid 2024") == " idiot you idiot stupid 2024 "
     assert toxicity.fold(None) == toxicity.fold("") == " "
@@ -184,6 +248,47 @@ def test_exceptions_and_scores():
     assert lex.score("you trash") > 0.3 and lex.score("idiotic") < 0.3 and lex.score("1d1ot") > 0.3
 
 
+def brute_matches(lex, folded):
+    """Every term at every place by plain comparison; the heaviest at a place counts if no exception phrase covers it."""
+    gone, best = set(), {}
+    for p in lex.exceptions:
+        for k in range(len(folded)):
+            if f" {p} " not in lex.terms and folded.startswith(f" {p} ", k):
+                gone |= set(range(k, k + len(p) + 1))
+    for t, weight in lex.terms.items():
+        for k in range(len(folded)):
+            if folded.startswith(t, k):
+                best[k] = max(best.get(k, 0.0), weight)
+    return sorted((k, x) for k, x in best.items() if k not in gone)
+
+
+def test_matches_equal_plain_search():
+    import math
+    import random
+
+    r = random.Random(11)
+    for _ in range(40):
+        some = lambda n: " ".join("".join(r.choice("ab") for _ in range(r.randrange(1, 4))) for _ in range(n))
+        terms = {f" {some(1)}{r.choice(['', ' '])}": r.randrange(1, 9) / 2 for _ in range(6)}
+        lex = toxicity.Lexicon(terms, tuple({some(r.randrange(1, 4)) for _ in range(4)}), (-3.0, 1.0, 0.5))
+        text = some(60)
+        f = toxicity.fold(text)
+        want = brute_matches(lex, f)
+        assert sorted(lex.matches(f)) == want
+        total = sum(x for _, x in want)
+        z = -3.0 + math.log1p(total) + 0.5 * math.log1p(100 * total / (len(text.split()) + 20))
+        assert lex.score(text) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_many_phrases_take_linear_time():
+    import time
+
+    lex = toxicity.Lexicon({" trash": 4.0}, ("trash can",), (-4.0, 2.5, 0.0))
+    began = time.time()
+    assert lex.matches(toxicity.fold("trash can you " * 30_000 + "trash")) == [(30_000 * 14, 4.0)]
+    assert time.time() - began < 20
+
+
 def test_toxicity_learns_and_holds_out(spark):
     import random
 
