@@ -376,3 +376,32 @@ def test_wrapped_and_embedded_licenses():
         hits += want is not None
         assert m.runs(" ".join(words)) == want
     assert hits
+
+
+def test_licence_files_are_found_whatever_the_corpus():
+    """Whole and cut licence texts, openings of long ones in long files, and prose with the same common words."""
+    import random
+
+    vocabulary = licenses.Vocabulary(licenses.TEMPLATES).terms
+    r = random.Random(4)
+    filler = " ".join(r.choice(["the", "of", "and", "software", "you", "may", "use", f"w{k}"]) for k in range(6000))
+    for df in ({}, {t: 990 for t in vocabulary}, {t: r.randrange(1000) for t in vocabulary}):
+        m = licenses.Matcher(df, 1000)
+        assert m.scan(filler) is None
+        for name, texts in licenses.TEMPLATES.items():
+            long = max(texts, key=len)
+            if len(long) > 400:
+                assert m.scan(f"{filler}\n{long}\n{filler}") == (1.0, name)
+                cut = m.scan(long[: int(len(long) * 0.9)])
+                assert cut[1] == name and cut[0] > 0.9
+        assert m.scan("A b\n\n    GNU GENERAL PUBLIC LICENSE\n     Version 3, 29 June 2007\n" + filler) == (1.0, "GPL-3.0")
+
+
+def test_terms_of_a_buffer():
+    texts = ["", "A.1b c..2 .3 x.", ".5", "é2.0É", "v1.2.3-rc", "end.", "9.9"]
+    raw = [t.encode() for t in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    hashes, first = licenses.term_hashes(data, off)
+    want = [licenses.terms(t) for t in texts]
+    assert np.diff(first).tolist() == [len(x) for x in want]
+    assert hashes.tolist() == [int(licenses.hash_of(t)) for x in want for t in x]
