@@ -384,7 +384,7 @@ def test_licence_files_are_found_whatever_the_corpus():
 
     vocabulary = licenses.Vocabulary(licenses.TEMPLATES).terms
     r = random.Random(4)
-    filler = " ".join(r.choice(["the", "of", "and", "software", "you", "may", "use", f"w{k}"]) for k in range(6000))
+    filler = " ".join(r.choice(["the", "of", "and", "software", "you", "may", "use"]) if r.random() < 0.3 else f"w{r.randrange(3000)}" for _ in range(6000))
     for df in ({}, {t: 990 for t in vocabulary}, {t: r.randrange(1000) for t in vocabulary}):
         m = licenses.Matcher(df, 1000)
         assert m.scan(filler) is None
