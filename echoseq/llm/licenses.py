@@ -93,7 +93,7 @@ TEMPLATES = {
         "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
     ],
     "BSD-2-Clause": [BSD_START + BSD_TWO + BSD_AS_IS, "Released under the BSD 2-Clause License."],
-    "BSD-3-Clause": [BSD_START[:-1] + ".", BSD_START + BSD_TWO + BSD_THIRD + BSD_AS_IS, "Released under the BSD 3-Clause License."],
+    "BSD-3-Clause": [BSD_START + BSD_TWO + BSD_THIRD + BSD_AS_IS, "Released under the BSD 3-Clause License."],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
