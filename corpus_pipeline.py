@@ -1,6 +1,9 @@
 """A corpus pipeline over `documents`: each stage's result is written as Parquet and read as the next one's input.
 
-Part of the subpackage llm. All stages but the last return the columns of `documents`.
+Part of the subpackage llm. All stages but the last return the columns of `documents`, and clean documents stay whole. Null or
+empty texts are clean, near-duplicates of nothing, without repeats, of size 0 (so the mix takes a source's share of them as of any
+other rows) and one token long. Rows with a null doc_id pass the stages as rows of their own. Extra columns, whatever their names,
+are carried to the mix; repeated rows count once after near-duplicates. An empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from echoseq.llm import minhash, mixing, packing, substring, toxicity
 from echoseq.llm.common import Scratch, read
 from echoseq.session import ship
 
+#: Documents link from this percentage of their shingles' union in common on.
+SIMILARITY = 80
 #: Workers live on from stage to stage, so the tokenizer's cache is kept smaller here than in packing alone.
 CACHE_ENTRIES = 200_000
 
@@ -23,13 +28,14 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; rows that repeat a doc_id and text count once."""
+    """One document of each near-duplicate group stays; rows that repeat a doc_id and text count once, rows without a doc_id all stay."""
     ship(spark)
-    found = minhash.near_duplicates(spark, docs)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    key = F.xxhash64(F.col("text").cast("string"))
-    once = docs.join(gone, "doc_id", "left_anti").select(F.struct(*docs.columns).alias("row"), F.coalesce("doc_id", F.lit(-1)).alias("k"), key.alias("t"))
-    return once.dropDuplicates(["k", "t"]).select("row.*").select(*docs.columns)
+    found = minhash.near_duplicates(spark, docs, SIMILARITY)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("k"), F.xxhash64(F.col("text").cast("string")).alias("t"))
+    left = rows.join(gone, F.col("k") == F.col("_gone"), "left_anti")
+    once = left.where("k is not null").dropDuplicates(["k", "t"]).unionByName(left.where("k is null"))
+    return once.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
