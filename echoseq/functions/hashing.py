@@ -20,6 +20,11 @@ def to_hex(c: Column | str) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
 
 
+def to_bytes(c: Column | str) -> Column:
+    """16 hex digits to 8 bytes."""
+    return F.unhex(c)
+
+
 def hamming(a: Column | str, b: Column | str) -> Column:
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     return F.bit_count(a.bitwiseXOR(b))

@@ -163,11 +163,18 @@ def code_pairs(codes: DataFrame, t: int, plan: list[tuple[int, int, int]] | None
     """(h1, h2, dist) of distinct codes (h) with h1 < h2 and distance t or less, each pair once. codes is read more than once."""
     if not 0 <= t <= 64:
         raise ValueError("threshold must be 0 to 64")
-    spark = codes.sparkSession
-    codes = codes.where("h is not null").select("h")
-    plan = plan or choose(t, codes.count())
-    rows = codes.mapInArrow(place(plan), "band int, cell long, probe int, n long, codes binary").withColumn("id", F.xxhash64("codes"))
-    rows = Scratch(spark, "codes").table(rows, "blocks")
+    plan = plan or choose(t, codes.where("h is not null").count())
+    return block_pairs(Scratch(codes.sparkSession, "codes").table(placed(codes, plan), "blocks"), t, plan)
+
+
+def placed(codes: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
+    """(band, cell, probe, n, codes): the packed blocks of distinct codes (h) in the cells of a plan."""
+    return codes.where("h is not null").select("h").mapInArrow(place(plan), "band int, cell long, probe int, n long, codes binary")
+
+
+def block_pairs(rows: DataFrame, t: int, plan: list[tuple[int, int, int]]) -> DataFrame:
+    """(h1, h2, dist) from a written table of blocks."""
+    spark, rows = rows.sparkSession, rows.withColumn("id", F.xxhash64("codes"))
     # Parts of a full cell: a stored block is of one part and probes the later ones, a probe meets all.
     full = rows.where("probe = 0").groupBy("band", "cell").agg(F.ceil(F.sum("n") / CELL).alias("parts")).where("parts > 1")
     rows = rows.join(full, ["band", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
@@ -182,10 +189,16 @@ def code_pairs(codes: DataFrame, t: int, plan: list[tuple[int, int, int]] | None
 
 def near_codes(frames: DataFrame, t: int) -> DataFrame:
     """(h1, h2, dist), both directions and each code with itself. A written table: callers join it more than once."""
+    return near_of(frames, t)
+
+
+def near_of(frames: DataFrame, t: int, plan: list[tuple[int, int, int]] | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """The same from blocks that are there already, for the plan that made them."""
     scratch = Scratch(frames.sparkSession, "codes")
     codes = scratch.table(frames.select("h").distinct(), "distinct")
+    pairs = code_pairs(codes, t, plan) if blocks is None else block_pairs(blocks, t, plan)
     one, two = F.struct("h1", "h2", "dist"), F.struct(F.col("h2").alias("h1"), F.col("h1").alias("h2"), "dist")
-    both = code_pairs(codes, t).select(F.explode(F.array(one, two)).alias("p")).select("p.*")
+    both = pairs.select(F.explode(F.array(one, two)).alias("p")).select("p.*")
     itself = codes.select(F.col("h").alias("h1"), F.col("h").alias("h2"), F.lit(0).alias("dist"))
     return scratch.table(both.unionByName(itself), "near")
 

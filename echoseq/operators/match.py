@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hamming_join import frame_pairs
+from ..scratch import Scratch
+from .hamming_join import frame_pairs, near_codes, spread_join
 
 
 @dataclass(frozen=True)
@@ -57,21 +58,6 @@ def all_pairs(videos: DataFrame, filter_length: bool = False) -> DataFrame:
     return p.select(F.when(s, F.col("a")).otherwise(F.col("b")).alias("short_id"), F.when(s, F.col("b")).otherwise(F.col("a")).alias("long_id"))
 
 
-def offsets(fp: DataFrame, pairs: DataFrame, step: int) -> DataFrame:
-    """(short_id, long_id, start, hits): agreeing frames on each diagonal that the step grid tests."""
-    fits = (F.col("start") >= 0) & (F.col("start") <= F.col("m") - F.col("n")) & (F.col("start") % step == 0)
-    d = fp.join(pairs.select(F.col("a").alias("va"), F.col("b").alias("vb"), "short_id", "long_id", "n", "m"), ["va", "vb"])
-    # A frame of the short video agrees with at most one frame of a diagonal, so rows of a diagonal are its hits.
-    start = F.when(F.col("short_id") == F.col("va"), F.col("ib") - F.col("ia")).otherwise(F.col("ia") - F.col("ib"))
-    return d.withColumn("start", start).where(fits).groupBy("short_id", "long_id", "start").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
-
-
-def confidences(fp: DataFrame, pairs: DataFrame, step: int) -> DataFrame:
-    """Oriented pairs with the best share of agreeing frames over the tested starts; none: 0."""
-    best = offsets(fp, pairs, step).groupBy("short_id", "long_id").agg((F.max("hits") / F.first("n")).alias("c"))
-    return pairs.join(best, ["short_id", "long_id"], "left").withColumn("confidence", F.coalesce("c", F.lit(0.0))).drop("c")
-
-
 def match_type(short: str = "short_duration", long: str = "long_duration") -> Column:
     return F.when(F.col(long) == 0, "duplicate").when(F.col(short) / F.col(long) >= 0.95, "duplicate").otherwise("subclip")
 
@@ -90,8 +76,63 @@ def gate(oriented: DataFrame, p: MatchParams) -> tuple[DataFrame, DataFrame]:
 
 def matches(frames: DataFrame, videos: DataFrame, p: MatchParams, comparisons: DataFrame | None = None) -> DataFrame:
     """short_id, long_id, match_type, confidence. `frames` must be a written table: it is read several times."""
-    scored = compare(frames, videos, p, comparisons)
-    return scored.where(F.col("confidence") >= p.min_confidence).select("short_id", "long_id", match_type().alias("match_type"), "confidence")
+    return matched(best_of(score(starts(frames, videos, p, comparisons), frames, p.threshold)), p)
+
+
+def matched(best: DataFrame, p: MatchParams) -> DataFrame:
+    return best.where(F.col("confidence") >= p.min_confidence).select("short_id", "long_id", match_type().alias("match_type"), "confidence")
+
+
+def telling(frames: DataFrame, videos: DataFrame, near: DataFrame, min_confidence: float) -> DataFrame:
+    """(video_id, frame_idx, h) of the frames by which a video can be found as the shorter one of a match.
+
+    Of n frames at least c * n agree on the diagonal of a match, so of any n - ceil(c * n) + 1 one does. Those with the fewest
+    frames near them are taken: a frame that very many videos hold, black or a title, makes no pairs unless most of the video is such.
+    """
+    rate = near.join(frames.groupBy(F.col("h").alias("h2")).agg(F.count("*").alias("k")), "h2").groupBy(F.col("h1").alias("h")).agg(F.sum("k").alias("near"))
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy("near", "frame_idx"))
+    # A little too low a bound takes a frame too many, which does no harm.
+    enough = F.col("n_frames") - F.ceil(F.col("n_frames") * min_confidence - 1e-6) + 1
+    ranked = frames.select("video_id", "frame_idx", "h").join(rate, "h").withColumn("place", place)
+    return ranked.join(videos.select(F.col("id").alias("video_id"), "n_frames"), "video_id").where(F.col("place") <= enough).select("video_id", "frame_idx", "h")
+
+
+def starts(frames: DataFrame, videos: DataFrame, p: MatchParams, comparisons: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+    """(a, b, short_id, long_id, short_duration, long_duration, n, start): the alignments on the step grid that a telling frame
+    votes for, of pairs that pass the gates and that no comparison has recorded. Every alignment that reaches min_confidence is among them."""
+    near = near_codes(frames, p.threshold) if near is None else near
+    v = videos.select("id", duration().alias("d"), "n_frames")
+    side = lambda x, ds, ns, i: v.select(F.col("id").alias(x), F.col("d").alias(ds), F.col("n_frames").alias(ns)).withColumnRenamed(x, i)
+    one = telling(frames, videos, near, p.min_confidence).join(side("x", "short_duration", "n", "video_id"), "video_id").where(F.col("short_duration") >= p.window)
+    one = one.select(F.col("video_id").alias("short_id"), F.col("frame_idx").alias("i"), F.col("h").alias("h1"), "short_duration", "n")
+    two = frames.select("video_id", "frame_idx", "h").join(side("x", "long_duration", "m", "video_id"), "video_id")
+    two = two.select(F.col("video_id").alias("long_id"), F.col("frame_idx").alias("j"), F.col("h").alias("h2"), "long_duration", "m")
+    met = spread_join(one.join(near.select("h1", "h2"), "h1").drop("h1"), two).withColumn("start", F.col("j") - F.col("i"))
+    shorter = "short_id <> long_id and (short_duration < long_duration" + ("" if p.filter_length else " or short_duration = long_duration and short_id < long_id") + ")"
+    met = met.where(shorter).where((F.col("start") >= 0) & (F.col("start") <= F.col("m") - F.col("n")) & (F.col("start") % p.frame_step == 0))
+    met = met.select(F.least("short_id", "long_id").alias("a"), F.greatest("short_id", "long_id").alias("b"), "short_id", "long_id", "short_duration", "long_duration", "n", "start").distinct()
+    return met if comparisons is None else uncompared(met, comparisons)
+
+
+def sequences(frames: DataFrame) -> DataFrame:
+    """(video_id, codes): the codes of each video in order."""
+    whole = frames.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "h"))).alias("f"))
+    return whole.select("video_id", F.transform("f", lambda x: x["h"]).alias("codes"))
+
+
+def score(tested: DataFrame, frames: DataFrame, threshold: int) -> DataFrame:
+    """tested with `hits`: frames of the shorter video that agree with those of the longer one from `start` on. Ordinals have no gaps."""
+    codes = Scratch(frames.sparkSession, "match").table(sequences(frames), "codes")
+    both = tested.join(codes.select(F.col("video_id").alias("short_id"), F.col("codes").alias("one")), "short_id").join(codes.select(F.col("video_id").alias("long_id"), F.col("codes").alias("two")), "long_id")
+    far = F.zip_with("one", F.slice("two", (F.col("start") + 1).cast("int"), F.size("one")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return both.select(*tested.columns, F.size(F.filter(far, lambda d: d <= threshold)).cast("long").alias("hits"))
+
+
+def best_of(scores: DataFrame) -> DataFrame:
+    """One row a pair: start and hits of the best alignment, ties to the first one, and confidence."""
+    top = F.max(F.struct("hits", (-F.col("start")).alias("minus"))).alias("best")
+    best = scores.groupBy("a", "b", "short_id", "long_id", "short_duration", "long_duration", "n").agg(top)
+    return best.select("a", "b", "short_id", "long_id", "short_duration", "long_duration", (-F.col("best.minus")).alias("start"), F.col("best.hits").alias("hits"), (F.col("best.hits") / F.col("n")).alias("confidence"))
 
 
 def diagonals(frames: DataFrame, videos: DataFrame, threshold: int, step: int, where: str = "true") -> DataFrame:
