@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import select
 import sys
 
 from .operators.match import MatchParams
@@ -39,6 +40,14 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def quit_asked() -> bool:
+    """Whether q was typed; work that is published stays, and the next run goes on."""
+    try:
+        return sys.stdin.isatty() and bool(select.select([sys.stdin], [], [], 0)[0]) and sys.stdin.readline().strip().lower() == "q"
+    except (OSError, ValueError):
+        return False
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     a = vars(parser().parse_args(argv))
     if spark is None:
@@ -50,7 +59,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         if command == "continue":
             out = jobs.run_continue(spark, directory, a["which"], lambda names: input(f"Which run ({'/'.join(names)})? ").strip())
         else:
-            out = getattr(jobs, f"run_{command}")(spark, directory, **a)
+            stops = {"stop": quit_asked} if command in ("index", "match") else {}
+            stops |= {"slices": 16} if command == "match" and sys.stdin.isatty() else {}
+            out = getattr(jobs, f"run_{command}")(spark, directory, **a, **stops)
     except jobs.NoIndex as e:
         print(e, file=sys.stderr)
         return 1

@@ -17,6 +17,7 @@ AUDIO_FINGERPRINTS = struct(("video_id", L, False), ("duration", D, True), ("fin
 COMPARISONS = struct(("video_a_id", L, False), ("video_b_id", L, False))
 CANDIDATE_PAIRS = COMPARISONS
 MATCHES = struct(("id", L, False), ("video_a_id", L, False), ("video_b_id", L, False), ("match_type", S, False), ("confidence", D, False), ("found_at", D, False), ("moved", I, False))
-INDEX_META = struct(("id", I, False), ("built_at", D, True), ("version", L, True))
+INDEX_META = struct(("id", I, False), ("built_at", D, True), ("version", L, True), ("threshold", I, True), ("codes", L, True))
+INDEX_BLOCKS = struct(("band", I, False), ("cell", L, False), ("probe", I, False), ("n", L, False), ("codes", T.BinaryType(), False))
 
-TABLES = {"videos": VIDEOS, "frame_hashes": FRAME_HASHES, "audio_fingerprints": AUDIO_FINGERPRINTS, "comparisons": COMPARISONS, "candidate_pairs": CANDIDATE_PAIRS, "matches": MATCHES, "index_meta": INDEX_META}
+TABLES = {"videos": VIDEOS, "frame_hashes": FRAME_HASHES, "audio_fingerprints": AUDIO_FINGERPRINTS, "comparisons": COMPARISONS, "candidate_pairs": CANDIDATE_PAIRS, "matches": MATCHES, "index_meta": INDEX_META, "index_blocks": INDEX_BLOCKS}

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import os
 import shutil
+import sys
 import time
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import from_hex
-from ..operators import hamming_join, match, organise, reconcile, tables
+from ..operators import match, organise, reconcile, tables
 from ..scratch import Scratch
-from ..sources import decode, files
+from ..sources import decode, files, search_index
 from ..sources.store import Store
 
+#: Videos that are published at once, and tasks at most that decode them.
+CHUNK, MOST_TASKS = 100_000, 20_000
+
 
 class NoIndex(RuntimeError):
     """The directory has no index."""
@@ -27,54 +33,91 @@ def need(store: Store) -> Store:
     return store
 
 
-def run_index(spark: SparkSession, directory: str, fps: float = 1.0, workers: int = 4, no_audio: bool = False, hwaccel: bool = False, decoder: Callable | None = None, paths: DataFrame | None = None) -> DataFrame:
-    """Registers new videos and processes unprocessed ones. Returns (path, error) of those that failed; they are tried again next time."""
-    store, now = Store(spark, directory), time.time()
-    scratch = Scratch(spark, "index")
+def never() -> bool:
+    return False
+
+
+def run_index(spark: SparkSession, directory: str, fps: float = 1.0, workers: int = 4, no_audio: bool = False, hwaccel: bool = False, decoder: Callable | None = None, paths: DataFrame | None = None, chunk: int = CHUNK, stop: Callable[[], bool] = never) -> DataFrame:
+    """Registers new videos and processes unprocessed ones, `chunk` of them to a published change, so a run that ends early, by
+    `stop` or otherwise, keeps the chunks that are done. A task decodes few videos; `workers` is the least number of tasks.
+    Returns (path, error) of those that failed; they are tried again next time."""
+    store, scratch = Store(spark, directory), Scratch(spark, "index")
     known = store.read("videos")
     new = tables.register(known, paths if paths is not None else files.find_videos(spark, store.directory))
-    videos = scratch.table(known.unionByName(new), "videos")
+    store.commit(replace={"videos": scratch.table(known.unionByName(new), "videos")})
+    store.save_config("index", {"fps": fps, "workers": workers, "no_audio": no_audio, "hwaccel": hwaccel})
     decoder = decoder or (lambda path, rate: decode.ffmpeg(path, rate, hwaccel, not no_audio))
-    todo = tables.unprocessed(videos).repartition(max(1, workers))
-    done = scratch.table(decode.process(todo, decoder, fps), "done")
-    ok = done.where("ok")
-    processed = ok.select("id", F.col("duration").alias("new_duration"))
+    todo = scratch.table(tables.in_order(tables.unprocessed(store.read("videos")), [F.col("id")]), "todo")
+    n, failed = todo.count(), []
+    for lo in range(0, n, chunk):
+        if stop():
+            break
+        some = todo.where((F.col("before") >= lo) & (F.col("before") < lo + chunk))
+        part = some.select("id", "path").repartitionByRange(max(1, workers, min(n - lo, chunk, MOST_TASKS)), "id")
+        done = scratch.table(decode.process(part, decoder, fps), "done")
+        publish(store, done.where("ok"), time.time())
+        failed.append(done.where("not ok").select("path", "error"))
+    return reduce(DataFrame.unionByName, failed) if failed else spark.createDataFrame([], "path string, error string")
+
+
+def publish(store: Store, ok: DataFrame, now: float) -> None:
+    """One change with the results of processed videos: their rows, frames and audio."""
+    videos = store.read("videos")
     hit = F.col("new_duration").isNotNull()
-    videos = videos.join(processed, "id", "left").select("id", "path", F.when(hit, F.col("new_duration")).otherwise(F.col("duration")).alias("duration"), F.when(hit, F.lit(now)).otherwise(F.col("fingerprinted_at")).alias("fingerprinted_at"), "moved_to")
+    videos = videos.join(ok.select("id", F.col("duration").alias("new_duration")), "id", "left").select("id", "path", F.when(hit, F.col("new_duration")).otherwise(F.col("duration")).alias("duration"), F.when(hit, F.lit(now)).otherwise(F.col("fingerprinted_at")).alias("fingerprinted_at"), "moved_to")
     rows = ok.select(F.col("id").alias("video_id"), F.posexplode("frames").alias("frame_idx", "f")).select("video_id", "frame_idx", "f.timestamp", "f.phash", from_hex("f.phash").alias("h"))
     audio = ok.where("audio is not null").select(F.col("id").alias("video_id"), F.col("audio_duration").alias("duration"), F.col("audio").alias("fingerprint"))
-    store.commit(replace={"videos": videos}, append={"frame_hashes": rows, "audio_fingerprints": audio})
-    store.save_config("index", {"fps": fps, "workers": workers, "no_audio": no_audio, "hwaccel": hwaccel})
-    return done.where("not ok").select("path", "error")
+    store.commit(replace={"videos": videos, "audio_fingerprints": tables.upsert(store.read("audio_fingerprints"), audio, ["video_id"])}, append={"frame_hashes": rows})
+
 
+def load_videos(videos: DataFrame, frames: DataFrame, audio: DataFrame) -> DataFrame:
+    """Processed videos with n_frames and has_audio."""
+    n = frames.groupBy(F.col("video_id").alias("id")).agg(F.count("*").alias("n_frames"))
+    heard = audio.select(F.col("video_id").alias("id"), F.lit(True).alias("has_audio")).distinct()
+    done = videos.where("fingerprinted_at is not null").join(n, "id", "left").join(heard, "id", "left")
+    return done.select("id", "path", "duration", F.coalesce("n_frames", F.lit(0)).alias("n_frames"), F.coalesce("has_audio", F.lit(False)).alias("has_audio"))
 
-def run_match(spark: SparkSession, directory: str, dry_run: bool = False, **args) -> DataFrame:
-    """Compares uncompared candidates and appends matches; returns the new matches (short_id, long_id, match_type, confidence)."""
+
+def run_match(spark: SparkSession, directory: str, dry_run: bool = False, slices: int = 1, stop: Callable[[], bool] = never, **args) -> DataFrame:
+    """Compares uncompared candidates and appends matches; returns the new matches (short_id, long_id, match_type, confidence).
+
+    Candidates are the pairs that a telling frame of the shorter video votes for (`match.starts`). They are compared in `slices`
+    parts, each published by itself, so a run that ends early keeps the parts that are done and the next run goes on with the rest.
+    """
     p = match.MatchParams(**args)
     store, scratch = need(Store(spark, directory)), Scratch(spark, "match")
+    search_index.build(store, p.threshold)
     frames = store.read("frame_hashes")
-    done = store.read("videos").where("fingerprinted_at is not null")
-    n = frames.groupBy("video_id").agg(F.count("*").alias("n_frames"))
-    videos = scratch.table(done.join(n.withColumnRenamed("video_id", "id"), "id", "left").withColumn("n_frames", F.coalesce("n_frames", F.lit(0))), "videos")
-    fp = scratch.table(hamming_join.frame_pairs(frames.join(videos.select(F.col("id").alias("video_id")), "video_id", "left_semi"), p.threshold), "frame_pairs")
-    candidates = scratch.table(fp.select(F.col("va").alias("a"), F.col("vb").alias("b")).distinct(), "candidates")
-    fresh = match.orient(match.uncompared(candidates, store.read("comparisons")), videos)
-    eligible, short = match.gate(fresh, p)
-    scored = scratch.table(match.confidences(fp, eligible, p.frame_step), "scored")
-    found = scratch.table(scored.where(F.col("confidence") >= p.min_confidence).select("short_id", "long_id", match.match_type().alias("match_type"), "confidence"), "found")
-    if dry_run:
-        return found
-    pair = lambda df: df.select(F.col("a").alias("video_a_id"), F.col("b").alias("video_b_id"))
-    compared = pair(scored).unionByName(pair(short))
-    old = store.read("matches")
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    keyed = found.withColumn("n", F.row_number().over(organise.Window.orderBy("short_id", "long_id")))
-    rows = keyed.select((F.col("n") + top).alias("id"), F.col("short_id").alias("video_a_id"), F.col("long_id").alias("video_b_id"), "match_type", "confidence", F.lit(time.time()).alias("found_at"), F.lit(0).alias("moved"))
-    known = store.read("candidate_pairs")
-    new = pair(candidates).join(known, ["video_a_id", "video_b_id"], "left_anti")
+    videos = scratch.table(load_videos(store.read("videos"), frames, store.read("audio_fingerprints")), "videos")
+    frames = scratch.table(frames.join(videos.select(F.col("id").alias("video_id")), "video_id", "left_semi"), "frames")
+    # Pairs under the window are candidates too: they are recorded as compared without being scored.
+    tested = scratch.table(match.starts(frames, videos, replace(p, window=0.0), store.read("comparisons"), search_index.near(store, p.threshold)), "starts")
+    found = []
+    for k in range(slices):
+        if stop():
+            break
+        part = tested if slices == 1 else tested.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k)
+        best = scratch.table(match.best_of(match.score(part.where(F.col("short_duration") >= p.window), frames, p.threshold)), "best")
+        found.append(scratch.table(match.matched(best, p), "found"))
+        if not dry_run:
+            record(store, part.select(F.col("a").alias("video_a_id"), F.col("b").alias("video_b_id")).distinct(), found[-1])
+    if not dry_run:
+        store.save_config("match", p.args())
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "short_id long, long_id long, match_type string, confidence double")
+
+
+def record(store: Store, compared: DataFrame, found: DataFrame) -> None:
+    """One change with compared pairs, new candidates, and matches with ids that go on from the highest."""
+    rows = new_matches(store.read("matches"), found, time.time())
+    new = compared.join(store.read("candidate_pairs"), ["video_a_id", "video_b_id"], "left_anti")
     store.commit(append={"comparisons": compared, "matches": rows, "candidate_pairs": new})
-    store.save_config("match", p.args())
-    return found
+
+
+def new_matches(old: DataFrame, found: DataFrame, now: float) -> DataFrame:
+    """Rows of `matches` for found pairs, in the order of their videos."""
+    top = old.agg(F.max("id")).first()[0] or 0
+    keyed = tables.in_order(found, [F.col("short_id"), F.col("long_id")])
+    return keyed.select((F.col("before") + top + 1).cast("long").alias("id"), F.col("short_id").alias("video_a_id"), F.col("long_id").alias("video_b_id"), "match_type", "confidence", F.lit(now).alias("found_at"), F.lit(0).alias("moved"))
 
 
 def free_name(path: str, suffix: str) -> str:
@@ -134,7 +177,7 @@ def run_sync(spark: SparkSession, directory: str, dry_run: bool = False) -> Data
 
 
 def run_continue(spark: SparkSession, directory: str, command: str | None = None, choose: Callable[[list[str]], str] | None = None, **index_options) -> DataFrame:
-    """Runs a saved command again. With several saved ones and none named, choose(names) decides. A match whose index has changed starts afresh from the frames as they are."""
+    """Runs a saved command again. With several saved ones and none named, choose(names) decides. Before a match whose index has changed since, the search index is dropped and so built again."""
     store = need(Store(spark, directory))
     saved = store.configs()
     if command is None and len(saved) > 1 and choose:
@@ -143,7 +186,12 @@ def run_continue(spark: SparkSession, directory: str, command: str | None = None
     if command not in saved:
         raise NoIndex(f"no saved run of {command or 'any command'}")
     args = saved[command].get("args", {})
-    return run_index(spark, directory, **args, **index_options) if command == "index" else run_match(spark, directory, **args)
+    if command == "index":
+        return run_index(spark, directory, **args, **index_options)
+    if is_stale(spark, directory):
+        print("the index has changed since the last match; the search index is built again", file=sys.stderr)
+        search_index.invalidate(store)
+    return run_match(spark, directory, **args)
 
 
 def is_stale(spark: SparkSession, directory: str) -> bool:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import shutil
 import subprocess
+import tempfile
+import threading
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -16,6 +19,10 @@ from ..functions.hashing import phash
 OUTPUT = "id long, path string, ok boolean, error string, duration double, frames array<struct<timestamp:double,phash:string>>, audio_duration double, audio string"
 
 
+#: Seconds that a decoder may take beyond ten times the duration.
+LEAST_SECONDS = 600
+
+
 class Decoded(NamedTuple):
     duration: float
     frames: Iterator[np.ndarray]
@@ -47,22 +54,37 @@ def ffmpeg(path: str, fps: float = 1.0, hwaccel: bool = False, audio: bool = Tru
         duration = 0.0
 
     def frames():
+        limit = LEAST_SECONDS + 10 * duration
         args = ["ffmpeg", "-v", "error", *(["-hwaccel", "auto"] if hwaccel else []), "-i", path, "-vf", f"fps={fps},scale=160:120", "-f", "rawvideo", "-pix_fmt", "gray", "-"]
-        with subprocess.Popen(args, stdout=subprocess.PIPE, stderr=subprocess.PIPE) as run:
-            while len(raw := run.stdout.read(160 * 120)) == 160 * 120:
-                yield np.frombuffer(raw, np.uint8).reshape(120, 160)
-            if run.wait():
-                raise RuntimeError(run.stderr.read().decode(errors="replace")[-500:])
+        yield from raw_frames(args, limit)
 
     return Decoded(duration, frames(), chromaprint(path) if audio else None)
 
 
+def raw_frames(args: list[str], limit: float, size: tuple[int, int] = (120, 160)) -> Iterator[np.ndarray]:
+    """Greyscale frames that a command writes, one in memory at a time. Its messages go to a file, so they can't fill a pipe and
+    stop it; after `limit` seconds it is killed, which is an error."""
+    n = size[0] * size[1]
+    with tempfile.TemporaryFile() as messages, subprocess.Popen(args, stdout=subprocess.PIPE, stderr=messages) as run:
+        timer = threading.Timer(limit, run.kill)
+        timer.start()
+        try:
+            while len(raw := run.stdout.read(n)) == n:
+                yield np.frombuffer(raw, np.uint8).reshape(size)
+            if code := run.wait():
+                messages.seek(0)
+                raise RuntimeError(f"exit {code}: {messages.read().decode(errors='replace')[-500:]}")
+        finally:
+            timer.cancel()
+            run.kill()
+
+
 def chromaprint(path: str) -> tuple[float, str] | None:
     """Duration and fingerprint by the fpcalc tool; None where that fails."""
     try:
-        out = subprocess.run(["fpcalc", "-plain", path], capture_output=True, text=True, timeout=600, check=True).stdout
-        return 0.0, out.strip()
-    except (OSError, subprocess.SubprocessError):
+        out = json.loads(subprocess.run(["fpcalc", "-json", path], capture_output=True, text=True, timeout=LEAST_SECONDS, check=True).stdout)
+        return float(out["duration"]), str(out["fingerprint"])
+    except (OSError, subprocess.SubprocessError, ValueError, KeyError, TypeError):
         return None
 
 
@@ -70,16 +92,16 @@ def process(videos: DataFrame, decoder: Callable[[str, float], Decoded] = ffmpeg
     """videos (id, path) to OUTPUT; a failing file becomes a row with its error, and stays unprocessed."""
 
     def run(batches):
+        # A row at a time: a task holds one video's codes.
         for pdf in batches:
-            rows = []
             for i, path in zip(pdf["id"], pdf["path"], strict=True):
                 try:
                     got = decoder(path, fps)
                     frames = [{"timestamp": k / fps, "phash": phash(f)} for k, f in enumerate(got.frames)]
-                    rows.append((i, path, True, None, got.duration, frames, *(got.audio or (None, None))))
+                    row = (i, path, True, None, got.duration, frames, *(got.audio or (None, None)))
                 except Exception as e:  # noqa: BLE001 - any failure of a file is its result
-                    rows.append((i, path, False, str(e), None, None, None, None))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("id", "path", "ok", "error", "duration", "frames", "audio_duration", "audio")])
+                    row = (i, path, False, str(e), None, None, None, None)
+                yield pd.DataFrame([row], columns=["id", "path", "ok", "error", "duration", "frames", "audio_duration", "audio"])
 
     return videos.select("id", "path").mapInPandas(run, OUTPUT)
 

@@ -49,6 +49,8 @@ class Store:
     """The tables of one library directory. The directory is one that the driver and all executors see."""
 
     def __init__(self, spark: SparkSession, directory: str):
+        if urlparse(directory).scheme not in ("", "file"):
+            raise ValueError(f"the library must be a folder that driver and executors mount, not {directory}")
         self.spark, self.directory = spark, os.path.abspath(urlparse(directory).path)
         self.root = os.path.join(self.directory, FOLDER)
 
@@ -82,10 +84,16 @@ class Store:
         replace_json(self.manifest_path, {"version": version, "written_at": time.time(), "tables": tables})
         return version
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
+        """Empties tables."""
         m = self.manifest()
-        m["tables"].pop(name, None)
-        replace_json(self.manifest_path, m | {"version": m["version"] + 1})
+        left = {k: v for k, v in m["tables"].items() if k not in names}
+        replace_json(self.manifest_path, m | {"version": m["version"] + 1, "tables": left})
+
+    def table_version(self, name: str) -> int:
+        """The version of the last change of a table; 0 without one."""
+        parts = self.manifest()["tables"].get(name, [])
+        return max((int(p.rpartition("/v")[2].partition("-")[0]) for p in parts), default=0)
 
     def version(self) -> int:
         return self.manifest()["version"]
