@@ -14,6 +14,8 @@ from ..operators import reconcile as R
 from ..operators import tables as T
 from ..scratch import Scratch
 from ..sources import frames as S
+from ..sources import search_index as X
+from . import jobs
 
 QUERIES, ORACLE = {}, {}
 ROOT = "/lib/duplicates"
@@ -400,6 +402,115 @@ def q_unprocessed(spark, d):
     return T.unprocessed(videos(spark, d))
 
 
+# -- search index, loading and appending -----------------------------------------------------------------------
+
+
+@query(with_(FIXTURE_SQL) + """SELECT id, path, duration, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_frames,
+id IN (SELECT doc_id FROM labels) AS has_audio FROM vid JOIN documents ON doc_id = id WHERE fingerprinted_at IS NOT NULL""")
+def q_video_loader(spark, d):
+    audio = read(spark, d, "labels").select(F.col("doc_id").alias("video_id"))
+    return jobs.load_videos(videos(spark, d), S.line_frames(read(spark, d, "documents")), audio)
+
+
+@query(with_(FIXTURE_SQL) + "SELECT id FROM vid WHERE id IN (SELECT doc_id FROM labels)")
+def q_audio_semijoin(spark, d):
+    audio = read(spark, d, "labels").select(F.col("doc_id").alias("video_id"))
+    return jobs.load_videos(videos(spark, d).withColumn("fingerprinted_at", F.lit(0.0)), S.line_frames(read(spark, d, "documents")), audio).where("has_audio").select("id")
+
+
+@query("SELECT doc_id AS video_id, md5(string_agg(substr(md5(line), 1, 16), '' ORDER BY pos)) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL) GROUP BY 1")
+def q_ordered_lookup(spark, d):
+    s = M.sequences(S.line_frames(read(spark, d, "documents")))
+    return s.select("video_id", F.md5(F.array_join(F.transform("codes", H.to_hex), "").cast("binary")).alias("digest"))
+
+
+@query("SELECT count(*) AS n_frames, count(DISTINCT line) AS n_codes FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)")
+def q_count_frames(spark, d):
+    return S.line_frames(read(spark, d, "documents")).agg(F.count("*").alias("n_frames"), F.countDistinct("h").alias("n_codes"))
+
+
+@query(with_(DOC_SQL) + "SELECT CAST(k AS INTEGER) AS band, CAST((h >> CAST(16 * k AS UBIGINT)) & 65535 AS BIGINT) AS cell, count(*) AS n FROM (SELECT DISTINCT h FROM fr), range(4) t(k) GROUP BY ALL")
+def q_index_blocks(spark, d):
+    blocks = J.placed(S.doc_frames(read(spark, d, "documents")).select("h").distinct(), J.bands(10, 4))
+    return blocks.where("probe = 0").groupBy("band", "cell").agg(F.sum("n").alias("n"))
+
+
+@query(with_(DOC_SQL, FP_SQL) + "SELECT CAST(bit_count(xor(h1, h2)) AS INTEGER) AS dist, count(*) AS n FROM hp GROUP BY 1")
+def q_index_load(spark, d):
+    """Pairs from blocks that are written first and read back."""
+    f, plan = docs(spark, d), J.bands(10, 8)
+    blocks = Scratch(spark, "index").table(J.placed(f.select("h").distinct(), plan), "blocks")
+    return J.near_of(f, 10, plan, blocks).groupBy("dist").agg(F.count("*").alias("n"))
+
+
+def meta_rows(spark, d, version):
+    n = read(spark, d, "documents").groupBy().agg(F.count("*").alias("codes"))
+    return n.select(F.lit(1).alias("id"), F.lit(0.5).alias("built_at"), F.lit(version).cast("long").alias("version"), F.lit(10).alias("threshold"), "codes")
+
+
+@query("SELECT 1 AS id, 0.5::DOUBLE AS built_at, 4::BIGINT AS version, 10 AS threshold, count(*) AS codes FROM documents")
+def q_meta_upsert(spark, d):
+    return X.put_meta(meta_rows(spark, d, 3), meta_rows(spark, d, 4))
+
+
+@query("SELECT count(*) AS codes FROM documents")
+def q_meta_lookup(spark, d):
+    other = meta_rows(spark, d, 3).withColumn("id", F.lit(2))
+    return X.meta(meta_rows(spark, d, 3).union(other)).select("codes")
+
+
+@query(with_(MATCHES_SQL) + """SELECT (SELECT coalesce(max(id), 0) FROM mt) + row_number() OVER (ORDER BY doc_id, doc_id + 1) AS id, doc_id AS video_a_id, doc_id + 1 AS video_b_id,
+'subclip' AS match_type, 0.9::DOUBLE AS confidence, 2.5::DOUBLE AS found_at, 0 AS moved FROM labels""")
+def q_append_matches(spark, d):
+    found = read(spark, d, "labels").select(F.col("doc_id").alias("short_id"), (F.col("doc_id") + 1).alias("long_id"), F.lit("subclip").alias("match_type"), F.lit(0.9).cast("double").alias("confidence"))
+    return jobs.new_matches(made_matches(spark, d), found, 2.5)
+
+
+@query(with_(FIXTURE_SQL) + "SELECT id, CASE WHEN doc_id IS NOT NULL THEN 1.5 ELSE duration END AS duration, CASE WHEN doc_id IS NOT NULL THEN 2.5 ELSE fingerprinted_at END AS fingerprinted_at FROM vid LEFT JOIN labels ON doc_id = id")
+def q_keyed_update(spark, d):
+    ids = read(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    return T.update(videos(spark, d), ids, "id", {"duration": F.lit(1.5), "fingerprinted_at": F.lit(2.5)}).select("id", "duration", "fingerprinted_at")
+
+
+@query("SELECT doc_id AS video_id, CASE WHEN l.doc_id IS NULL THEN CAST(d.n_chars AS DOUBLE) ELSE 1.0 END AS duration, CASE WHEN l.doc_id IS NULL THEN d.lang ELSE 'new' END AS fingerprint FROM documents d LEFT JOIN labels l USING (doc_id)")
+def q_replace_audio(spark, d):
+    old = read(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.col("n_chars").cast("double").alias("duration"), F.col("lang").alias("fingerprint"))
+    return T.upsert(old, read(spark, d, "labels").select(F.col("doc_id").alias("video_id"), F.lit(1.0).alias("duration"), F.lit("new").alias("fingerprint")), ["video_id"])
+
+
+@query(with_(EMB_SQL) + "SELECT a.vid, a.idx, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS dist FROM em a JOIN em b ON a.vid = b.vid AND b.idx = a.idx + 1")
+def q_hamming_scalar(spark, d):
+    f = S.emb_frames(read(spark, d, "embeddings")).select(F.col("video_id").alias("vid"), F.col("frame_idx").alias("idx"), "h")
+    g = f.select("vid", (F.col("idx") - 1).alias("idx"), F.col("h").alias("g"))
+    return f.join(g, ["vid", "idx"]).select("vid", "idx", H.hamming("h", "g").alias("dist"))
+
+
+@query("SELECT page_id, octet_length(unhex(substr(md5(url), 1, 16))) AS n, upper(substr(md5(url), 1, 16)) AS back FROM pages")
+def q_hex_bytes(spark, d):
+    raw = H.to_bytes(F.substring(F.md5(F.col("url").cast("binary")), 1, 16))
+    return read(spark, d, "pages").select("page_id", F.octet_length(raw).cast("long").alias("n"), F.hex(raw).alias("back"))
+
+
+EVENT_SQL = "fr AS (SELECT user_id AS vid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, CAST('0x' || substr(md5(event_type), 1, 16) AS UBIGINT) AS h FROM events)"
+
+
+@query(with_(EVENT_SQL, FP_SQL, DG_SQL, t=0, step=1) + MATCH.replace("0.8", "0.4") + "0")
+def q_match_skew(spark, d):
+    """Sequences of five codes: each frame agrees with a fifth of all others."""
+    f = Scratch(spark, "frames").table(S.event_frames(read(spark, d, "events")), "event_frames")
+    v = Scratch(spark, "videos").table(S.videos_of(f), "videos")
+    return M.matches(f, v, M.MatchParams(frame_step=1, window=0.0, threshold=0, min_confidence=0.4))
+
+
+@query(with_(DOC_SQL, FP_SQL, DG_SQL) + MATCH + "10 AND (short_id + long_id) % 4 <> 0")
+def q_match_incremental(spark, d):
+    """Pairs that an earlier run has compared make no alignments."""
+    f = docs(spark, d)
+    v = Scratch(spark, "videos").table(S.videos_of(f), "videos")
+    done = M.starts(f, v, M.MatchParams(window=0.0)).where("(a + b) % 4 = 0").select(F.col("b").alias("video_a_id"), F.col("a").alias("video_b_id")).distinct()
+    return M.matches(f, v, M.MatchParams(), Scratch(spark, "done").table(done, "done"))
+
+
 @query()
 def q_phash_synthetic(spark, d):
     from ..sources import decode

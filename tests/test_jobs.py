@@ -7,7 +7,7 @@ import pytest
 
 from echoseq import cli
 from echoseq.plans import jobs
-from echoseq.sources import decode, files, store
+from echoseq.sources import decode, files, search_index, store
 
 FILES = {"a.mp4": "ball:1:40", "b.MP4": "ball:1:40", "sub/c.mkv": "ball:1:25", "d.avi": "ball:9:40", "bad.mp4": "nonsense", "note.txt": "x"}
 
@@ -90,6 +90,89 @@ def test_configs_and_continue(spark, library):
         jobs.run_continue(spark, library, "match")
 
 
+def test_index_is_kept_in_chunks(spark, library):
+    """A run that is stopped keeps its finished chunks, and the next one does the rest."""
+    asked = []
+    jobs.run_index(spark, library, decoder=decoder, chunk=2, stop=lambda: len(asked) == 1 or asked.append(1))
+    s = store.Store(spark, library)
+    done = [r.id for r in s.read("videos").where("fingerprinted_at is not null").collect()]
+    assert len(done) == 2 and s.read("videos").count() == 5
+    failed = rows(jobs.run_index(spark, library, decoder=decoder, chunk=2))
+    assert len(failed) == 1 and s.read("videos").where("fingerprinted_at is not null").count() == 4
+    assert s.read("frame_hashes").count() == 145 and s.read("frame_hashes").dropDuplicates(["video_id", "frame_idx"]).count() == 145
+
+
+def test_match_is_kept_in_slices(spark, library):
+    jobs.run_index(spark, library, decoder=decoder)
+    s = store.Store(spark, library)
+    jobs.run_match(spark, library, frame_step=1, slices=16, stop=lambda: s.read("comparisons").count() > 0)
+    some, part = s.read("matches").count(), s.read("comparisons").count()
+    jobs.run_match(spark, library, frame_step=1)
+    whole = s.read("matches")
+    assert 0 < part < s.read("comparisons").count() == 3 and some <= whole.count() == 3
+    assert sorted(r.id for r in whole.collect()) == [1, 2, 3]
+
+
+def test_search_index_follows_the_frames(spark, library, capsys):
+    jobs.run_index(spark, library, decoder=decoder)
+    s = store.Store(spark, library)
+    with pytest.raises(LookupError):
+        search_index.near(s, 10)
+    assert search_index.build(s, 10) and not search_index.build(s, 10) and search_index.build(s, 9) and search_index.build(s, 10)
+    assert search_index.meta(s.read("index_meta")).first()["codes"] == s.read("frame_hashes").select("h").distinct().count()
+    found = rows(jobs.run_match(spark, library, frame_step=1))
+    assert len(found) == 3 and not search_index.build(s, 10)
+    with open(os.path.join(library, "new.mp4"), "w") as f:
+        f.write("ball:1:30")
+    config = s.load_config("match") | {"last_run": "2001-01-01T00:00:00Z"}
+    store.replace_json(os.path.join(s.root, "match.json"), config)
+    jobs.run_index(spark, library, decoder=decoder)
+    assert jobs.is_stale(spark, library)
+    again = rows(jobs.run_continue(spark, library, "match"))
+    assert len(again) == 3 and "built again" in capsys.readouterr().err
+    assert not search_index.build(s, 10) and not jobs.is_stale(spark, library)
+    search_index.invalidate(s)
+    assert s.read("index_meta").isEmpty() and s.read("index_blocks").isEmpty()
+
+
+def test_other_schemes_are_refused(spark):
+    for url in ("hdfs://host/lib", "s3a://bucket/lib"):
+        with pytest.raises(ValueError, match="folder"):
+            store.Store(spark, url)
+
+
+def test_decoder_with_many_messages_and_a_limit():
+    """Messages beyond a pipe's size don't stop a decoder; one that doesn't end is killed."""
+    import sys
+
+    code = "import sys; sys.stderr.write('x' * 2000000); sys.stdout.buffer.write(bytes(120 * 160 * 3))"
+    assert len(list(decode.raw_frames([sys.executable, "-c", code], 60))) == 3
+    with pytest.raises(RuntimeError, match="exit 3.*broken"):
+        list(decode.raw_frames([sys.executable, "-c", "import sys; sys.stderr.write('broken'); sys.exit(3)"], 60))
+    with pytest.raises(RuntimeError, match="exit"):
+        list(decode.raw_frames([sys.executable, "-c", "import time; time.sleep(60)"], 1))
+
+
+def test_audio_fingerprints(spark, library, tmp_path, monkeypatch):
+    """Duration and fingerprint of the tool's output; a video's new fingerprint replaces its old one."""
+    tool = tmp_path / "fpcalc"
+    tool.write_text('#!/bin/sh\necho \'{"duration": 12.5, "fingerprint": "AQAB"}\'\n')
+    tool.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:/usr/bin:/bin")
+    assert decode.chromaprint("x") == (12.5, "AQAB")
+    tool.write_text("#!/bin/sh\necho nothing\n")
+    assert decode.chromaprint("x") is None
+
+    def heard(path, fps):
+        return decoder(path, fps)._replace(audio=(9.5, "F"))
+
+    jobs.run_index(spark, library, decoder=heard)
+    s = store.Store(spark, library)
+    assert {(r.duration, r.fingerprint) for r in s.read("audio_fingerprints").collect()} == {(9.5, "F")}
+    v = jobs.load_videos(s.read("videos"), s.read("frame_hashes"), s.read("audio_fingerprints").limit(1))
+    assert v.where("has_audio").count() == 1 and v.count() == 4
+
+
 def test_json_is_atomic(tmp_path):
     path = str(tmp_path / "x.json")
     store.replace_json(path, {"a": 1})

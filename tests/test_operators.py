@@ -101,9 +101,7 @@ def test_knn_counts_own_frames(spark, videos):
 def test_alignment_equals_sliding_window(spark, videos, step):
     f = frames_df(spark, videos)
     v = spark.createDataFrame([(i, float(len(h)), len(h)) for i, h in videos.items()], "id long, duration double, n_frames long")
-    fp = hamming_join.frame_pairs(f, 10)
-    pairs = match.orient(fp.select(F.col("va").alias("a"), F.col("vb").alias("b")).distinct(), v)
-    got = {(r.short_id, r.long_id): r.confidence for r in match.confidences(fp, pairs, step).collect()}
+    got = {(r.short_id, r.long_id): r.confidence for r in match.scored(match.diagonals(f, v, 10, step), v).collect()}
     for (s, g), c in got.items():
         assert c == sliding(videos[s], videos[g], step, 10)
     for a in videos:
@@ -113,6 +111,40 @@ def test_alignment_equals_sliding_window(spark, videos, step):
                 assert sliding(videos[s], videos[g], step, 10) == 0
 
 
+@pytest.mark.parametrize("step", [1, 3])
+@pytest.mark.parametrize("least", [0.3, 0.8, 1.0])
+def test_matches_equal_sliding_window(spark, videos, step, least):
+    """Alignments from telling frames alone lose no match; a code that every video holds is among them."""
+    r = random.Random(3)
+    videos = {v: [7 if r.random() < 0.3 else h for h in hs] for v, hs in videos.items()} | {90 + k: [7] * (3 + k) for k in range(3)}
+    f = frames_df(spark, videos)
+    v = spark.createDataFrame([(i, float(len(h)), len(h)) for i, h in videos.items()], "id long, duration double, n_frames long")
+    want = {}
+    for a in videos:
+        for b in videos:
+            if a < b:
+                s, g = (a, b) if len(videos[a]) <= len(videos[b]) else (b, a)
+                c = sliding(videos[s], videos[g], step, 10)
+                if c >= least:
+                    want[s, g] = c
+    p = match.MatchParams(frame_step=step, window=0.0, min_confidence=least)
+    assert {(x.short_id, x.long_id): x.confidence for x in match.matches(f, v, p).collect()} == want
+    assert {(x.short_id, x.long_id) for x in match.matched(match.compare(f, v, p), p).collect()} == set(want)
+    # A code of a third of all frames is near most others, so it is no telling frame of videos that have rarer ones.
+    told = match.telling(f, v, hamming_join.near_codes(f, 10), least)
+    assert told.where("h = 7 and video_id < 90 and video_id not in (21, 22, 24)").count() <= (0 if least >= 0.8 else 1000)
+
+
+def test_order_without_one_task(spark):
+    rows = [(r, r % 7) for r in random.Random(1).sample(range(1000), 500)]
+    got = {x.k: (x.before, x.w_before) for x in tables.in_order(spark.createDataFrame(rows, "k long, w long"), [F.col("k")], ("w",)).collect()}
+    n = total = 0
+    for k, x in sorted(rows):
+        assert got[k] == (n, total)
+        n, total = n + 1, total + x
+    assert tables.in_order(spark.createDataFrame([], "k long"), [F.col("k")]).count() == 0
+
+
 def test_types_and_gates(spark, videos):
     f = frames_df(spark, videos)
     v = spark.createDataFrame([(i, None if i == 24 else float(len(h)), len(h)) for i, h in videos.items()], "id long, duration double, n_frames long")
