@@ -178,6 +178,17 @@ def test_components(spark):
         up[y] = x
     got = {x.node: x.label for x in graph.connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test").table).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    # The same in two steps: later edges are given between the labels of the first step.
+    table, df = Scratch(spark, "test").table, lambda e: spark.createDataFrame(e, "a long, b long")
+    r.shuffle(edges)
+    labels = graph.connected_components(df(edges[:150]), table)
+    known = {x.node: x.label for x in labels.collect()}
+    grown = graph.grown_components(labels, df([(known.get(a, a), known.get(b, b)) for a, b in edges[150:]]), table).collect()
+    assert len(grown) == len({x.node for x in grown})
+    both = {x for a, b in edges for x in (a, b)}
+    assert {x.node: x.label for x in grown if x.node in got} == got and {x.node for x in grown} <= both
+    none = graph.grown_components(labels, df([]), table)
+    assert {x.node: x.label for x in none.collect()} == known
 
 
 def test_paths(spark):
