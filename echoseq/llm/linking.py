@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
+from ..operators.graph import connected_components, grown_components
 from ..scratch import Scratch
 
 #: Rounds at most, and comparisons a bucket row at which the exact rest begins.
@@ -39,16 +39,18 @@ def agreeing(x: str, y: str, words: int = SKETCH_WORDS) -> Column:
 
 
 def accepted(accept: Callable[[bytes, bytes], bool]) -> Callable:
+    """Rows of (payload, payload, *others) whose payloads make a link: the others."""
+
     def run(batches):
         for rb in batches:
-            ok = [accept(x, y) for x, y in zip(rb.column(2).to_pylist(), rb.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            ok = [accept(x, y) for x, y in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True)]
+            yield rb.select(rb.schema.names[2:]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
 def block_links(accept: Callable[[bytes, bytes], bool], ratio: int, agree: int) -> Callable:
-    """Links between the members of two blocks of a bucket that are in different components.
+    """Labels of members of two blocks of a bucket that link though they are in different components.
 
     A pair that meets in several buckets is compared in that of its first common key only.
     """
@@ -74,14 +76,14 @@ def block_links(accept: Callable[[bytes, bytes], bool], ratio: int, agree: int)
                     at = at[16 * z.shape[1] - np.bitwise_count(z).sum(1, dtype=np.int64) >= agree]
                     same = ca[n] == cb[at]
                     at = at[ca[n][same.argmax(1)] == r["key"]] if len(at) else at
-                    found += [(int(min(ia[n], ib[m])), int(max(ia[n], ib[m]))) for m in at.tolist() if accept(pa_[n], pb[m])]
+                    found += [(int(la[n]), int(lb[m])) for m in at.tolist() if accept(pa_[n], pb[m])]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
 def by_blocks(rows: DataFrame, payload: DataFrame, accept: Callable[[bytes, bytes], bool], ratio: int, agree: int) -> DataFrame:
-    """Links of large buckets (key, id, size, sketch, keys, n, label, major): blocks of about BLOCK members meet two by two."""
+    """Links, as pairs of labels, of large buckets (key, id, size, sketch, keys, n, label, major): blocks of about BLOCK members meet two by two."""
     full = rows.join(payload, "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("i", F.pmod(F.xxhash64("id"), "blocks"))
     member = F.struct("id", "label", "size", "sketch", "keys", "payload")
     blocks = full.groupBy("key", "i", "blocks").agg(F.collect_list(member).alias("members"), F.bool_and(F.col("label") == F.col("major")).alias("plain"))
@@ -109,26 +111,29 @@ def link_classes(nodes: DataFrame, payloads: Callable[[DataFrame], DataFrame], a
     payload = scratch.table(payloads(rows.select("id").distinct()), "payloads")
 
     def near(table: DataFrame, other: DataFrame, more: str = "true") -> DataFrame:
-        """Pairs (id, x) of a bucket that fit in size and whose sketches agree enough."""
+        """Pairs (a, b) of a bucket that fit in size and whose sketches agree enough, with the labels (la, lb) of either."""
         fits = F.expr(f"100 * least(size, sx) >= {ratio} * greatest(size, sx) and id <> x and {more}")
         met = table.join(other.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & fits & (agreeing("sketch", "kx") >= agree))
-        return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+        return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"), F.least("label", "lx").alias("la"), F.greatest("label", "lx").alias("lb")).distinct()
 
     def as_other(table: DataFrame, *more: str) -> DataFrame:
-        return table.select("key", F.col("id").alias("x"), F.col("size").alias("sx"), F.col("sketch").alias("kx"), *more)
+        return table.select("key", F.col("id").alias("x"), F.col("size").alias("sx"), F.col("sketch").alias("kx"), F.col("label").alias("lx"), *more)
 
-    def of_hubs(table: DataFrame, hubs: DataFrame, *more: str) -> DataFrame:
-        return as_other(table.join(hubs.withColumnsRenamed({"key": "k", "hub": "h"}), (F.col("key") == F.col("k")) & (F.col("id") == F.col("h"))), *more)
+    def of_hubs(table: DataFrame, hubs: DataFrame) -> DataFrame:
+        return as_other(table.join(hubs.withColumnsRenamed({"key": "k", "hub": "h"}), (F.col("key") == F.col("k")) & (F.col("id") == F.col("h"))))
 
     def confirm(pairs: DataFrame) -> DataFrame:
+        """Links as pairs of labels, the edges by which components grow."""
         p = pairs.join(payload.select(F.col("id").alias("b"), F.col("payload").alias("pb")), "b").join(payload.select(F.col("id").alias("a"), F.col("payload").alias("pa")), "a")
-        return p.select("a", "b", "pa", "pb").mapInArrow(accepted(accept), "a long, b long")
+        links = p.select("pa", "pb", F.col("la").alias("a"), F.col("lb").alias("b")).mapInArrow(accepted(accept), "a long, b long")
+        return scratch.table(links, "links")
 
-    tested = scratch.table(near(rows, of_hubs(rows, top)), "pairs")
-    links = scratch.table(confirm(tested), "links")
+    alone = rows.withColumn("label", F.col("id"))
+    pairs = scratch.table(near(alone, of_hubs(alone, top)), "pairs")
+    tested = pairs.select("a", "b")
+    labels = connected_components(confirm(pairs), scratch.table)
     before = None
     for r in range(ROUNDS):
-        labels = connected_components(links, scratch.table)
         marked = rows.drop("n").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         sides = marked.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", "n").alias("major"))
         marked = scratch.table(marked.join(sides.where("most < n").drop("most"), "key"), "open")
@@ -141,16 +146,16 @@ def link_classes(nodes: DataFrame, payloads: Callable[[DataFrame], DataFrame], a
         if last:
             # In a large bucket pairs are compared block by block and only links leave the task.
             small = marked.where(F.col("n") <= SMALL)
-            few = as_other(small.where("label <> major"), F.col("label").alias("lx"), F.col("keys").alias("keysx"))
+            few = as_other(small.where("label <> major"), F.col("keys").alias("keysx"))
             pairs = near(small, few, "lx <> label and (label = major or x < id) and get(array_intersect(keys, keysx), 0) = key")
             blocks = scratch.table(by_blocks(marked.where(F.col("n") > SMALL), payload, accept, ratio, agree), "links")
-            links = links.unionByName(blocks)
         else:
             hubs = marked.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key", F.lit(r))).alias("hub"))
-            pairs = near(marked, of_hubs(marked, hubs, F.col("label").alias("lx")), "lx <> label")
+            pairs = near(marked, of_hubs(marked, hubs), "lx <> label")
         pairs = scratch.table(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = scratch.table(links.unionByName(confirm(pairs)), "links")
-        tested = tested.unionByName(pairs)
+        tested = tested.unionByName(pairs.select("a", "b"))
+        found = confirm(pairs)
+        labels = grown_components(labels, found.unionByName(blocks) if last else found, scratch.table)
         if last:
             break
-    return connected_components(links, scratch.table)
+    return labels
