@@ -4,7 +4,9 @@ A source's rate is its target over its size in words. Its documents are put in o
 expected copies (the rate each) are prefix-summed, one random offset is added per source, and a
 document is emitted once per integer boundary crossed. The order by size stratifies the sample. The offset is drawn
 OFFSETS times, as hashes of source, seed and number, and the draw whose words come nearest the target is taken, at
-every size of source; so a source of few documents comes near its target too, as far as whole documents can, and reruns agree.
+every size of source. Documents of size classes over SHARE of the source's target are a stratum of their own: what a draw takes of
+them is known first, and the others' rate in that draw makes up the rest of the target. So a source of few documents comes near its
+target too, as far as whole documents can, and reruns agree.
 
 Places in the order come from a range partitioning and small per-partition counts, so a source with a third of all
 rows is spread over many tasks, and no task sees all sources, which may be very many.
@@ -29,6 +31,8 @@ from .common import Scratch, text_steps
 WEIGHTS, MOST, SEED = (5.0, 2.0, 1.0), 3.0, 7
 #: Draws of a source's offset, and size classes to a doubling of the size.
 OFFSETS, CLASSES = 32, 4
+#: A document of a size class over that of this share of its source's target is large.
+SHARE = 0.05
 SIZED = "doc_id long, source string, textkey long, size long"
 
 
@@ -70,9 +74,13 @@ def targets(sources: DataFrame, most: float = MOST) -> DataFrame:
     return sources.select("*", F.least(full, F.coalesce(share, full)).cast("double").alias("target"))
 
 
-def copies_at(offset: Column, most: float) -> Column:
-    """Integer boundaries that row i crosses at an offset."""
-    n = F.floor((F.col("i") + 1) * F.col("rate") + offset) - F.floor(F.col("i") * F.col("rate") + offset)
+def size_class(size: Column) -> Column:
+    return F.floor(CLASSES * F.log2(size + F.lit(1.0)))
+
+
+def copies_at(rate: Column, offset: Column, most: float) -> Column:
+    """Integer boundaries that row i crosses at a rate and an offset."""
+    n = F.floor((F.col("i") + 1) * rate + offset) - F.floor(F.col("i") * rate + offset)
     return F.least(n.cast("long"), F.lit(int(np.ceil(most))).cast("long"))
 
 
@@ -86,7 +94,7 @@ def take(spark: SparkSession, base: DataFrame, weights: tuple[float, ...], most:
     sized = scratch.table(base.mapInArrow(sizes, SIZED), "sizes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The hash, doc_id and textkey break ties, so equal sizes of one source need not meet in one task.
-    order = [F.col("source").isNull(), F.col("source"), F.floor(CLASSES * F.log2(F.col("size") + F.lit(1.0))), F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"), F.col("textkey")]
+    order = [F.col("source").isNull(), F.col("source"), size_class(F.col("size")), F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"), F.col("textkey")]
     ordered = sized.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ordered = scratch.table(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "ordered")
     counts = ordered.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.sum("size").alias("words"))
@@ -101,11 +109,24 @@ def take(spark: SparkSession, base: DataFrame, weights: tuple[float, ...], most:
         out = ordered.join(place, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
         return out.withColumn("i", F.col("row") - F.col("first") + F.col("before"))
 
-    drawn = met(place).select("s", "i", "rate", "size", "target", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))).alias("draw"))
-    drawn = drawn.groupBy("s", "draw").agg(F.abs(F.sum(copies_at(offset("s", seed, F.col("draw")), most) * F.col("size")) - F.first("target")).alias("miss"))
-    best = scratch.table(drawn.groupBy(F.col("s").alias("b")).agg(F.min(F.struct("miss", "draw"))["draw"].alias("draw")), "draws")
-    place = place.join(best, F.col("s").eqNullSafe(F.col("b"))).select(*place.columns, offset("s", seed, F.col("draw")).alias("start"))
-    copies = copies_at(F.col("start"), most)
+    large, draws = size_class(F.col("size")) > size_class(F.col("target") * SHARE), F.sequence(F.lit(0), F.lit(OFFSETS - 1))
+
+    def drawn(rows: DataFrame, rate: Column) -> DataFrame:
+        rows = rows.withColumn("draw", F.explode(draws))
+        return rows.withColumn("words", copies_at(rate, offset("s", seed, F.col("draw")), most) * F.col("size"))
+
+    # What each draw takes of large documents, and the rate at which the others make up the rest.
+    bulk = drawn(met(place).where(large), F.col("rate")).groupBy("s", "draw").agg(F.sum("words").alias("words"), F.sum("size").alias("bulk"))
+    bulk = bulk.groupBy(F.col("s").alias("b")).agg(F.first("bulk").alias("bulk"), F.map_from_entries(F.collect_list(F.struct("draw", "words"))).alias("bulk_words"))
+    bulk = scratch.table(bulk, "large")
+    left, rest = F.col("target") - F.element_at("bulk_words", F.col("draw")), F.col("source_size") - F.col("bulk")
+    makes_up = F.when(rest > 0, F.least(F.lit(most), F.greatest(F.lit(0.0), left / rest)))
+    rate = F.when(large, F.col("rate")).otherwise(F.coalesce(makes_up, F.col("rate")))
+    place = place.join(bulk, F.col("s").eqNullSafe(F.col("b")), "left").drop("b")
+    sums = drawn(met(place), rate).groupBy("s", "draw").agg(F.abs(F.sum("words") - F.first("target")).alias("miss"))
+    best = scratch.table(sums.groupBy(F.col("s").alias("b")).agg(F.min(F.struct("miss", "draw"))["draw"].alias("draw")), "draws")
+    place = place.join(best, F.col("s").eqNullSafe(F.col("b"))).drop("b")
+    copies = copies_at(rate, offset("s", seed, F.col("draw")), most)
     return met(place).select("doc_id", "source", "textkey", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
