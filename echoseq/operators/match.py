@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .hamming_join import frame_pairs, near_codes, spread_join
+from .hamming_join import density, flagged_pairs, frame_pairs, near_codes, ranges, spread_join
+
+#: Bytes of codes of a block of videos; alignments, and frames of them, that a task compares at once.
+BLOCK_BYTES, ALIGNMENTS, COMPARED = 1 << 26, 1 << 17, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -75,12 +81,162 @@ def gate(oriented: DataFrame, p: MatchParams) -> tuple[DataFrame, DataFrame]:
 
 
 def matches(frames: DataFrame, videos: DataFrame, p: MatchParams, comparisons: DataFrame | None = None) -> DataFrame:
-    """short_id, long_id, match_type, confidence. `frames` must be a written table: it is read several times."""
-    return matched(best_of(score(starts(frames, videos, p, comparisons), frames, p.threshold)), p)
-
+    """short_id, long_id, match_type, confidence. `frames` must be a written table: it is read several times.
 
-def matched(best: DataFrame, p: MatchParams) -> DataFrame:
-    return best.where(F.col("confidence") >= p.min_confidence).select("short_id", "long_id", match_type().alias("match_type"), "confidence")
+    Videos of equal codes and duration are compared as one; neither near codes nor alignments are written, only the pairs
+    of such classes that a telling frame brings together.
+    """
+    scratch = Scratch(frames.sparkSession, "match")
+    classes, members = sequence_classes(frames, videos, scratch)
+    pairs = class_pairs(classes, members, p, scratch)
+    found = matched(best_in_blocks(pairs, classes, p, scratch), p, ("short_duration", "long_duration"))
+    out = of_members(found, members).drop("short_duration", "long_duration")
+    return out if comparisons is None else uncompared(out.withColumn("a", F.least("short_id", "long_id")).withColumn("b", F.greatest("short_id", "long_id")), comparisons).drop("a", "b")
+
+
+def candidates(frames: DataFrame, videos: DataFrame, p: MatchParams) -> DataFrame:
+    """(a, b), a < b: the pairs that `matches` compares, each once."""
+    scratch = Scratch(frames.sparkSession, "match")
+    classes, members = sequence_classes(frames, videos, scratch)
+    side = lambda x, d: classes.select(F.col("video_id").alias(x), F.col("d").alias(d))
+    pairs = class_pairs(classes, members, p, scratch).join(side("short_id", "short_duration"), "short_id").join(side("long_id", "long_duration"), "long_id")
+    # Of one duration, a pair of classes comes in either order or both.
+    pairs = pairs.withColumn("even", F.col("short_duration") == F.col("long_duration"))
+    pairs = pairs.select(F.when(F.col("even"), F.least("short_id", "long_id")).otherwise(F.col("short_id")).alias("short_id"), F.when(F.col("even"), F.greatest("short_id", "long_id")).otherwise(F.col("long_id")).alias("long_id")).distinct()
+    one, two = members.select(F.col("rep").alias("short_id"), F.col("id").alias("x")), members.select(F.col("rep").alias("h2"), F.col("id").alias("y"))
+    met = spread_join(pairs.join(one, "short_id").withColumnRenamed("long_id", "h2"), two).where("short_id <> h2 or x < y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def sequence_classes(frames: DataFrame, videos: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(video_id, d, codes): a video of every class of equal codes and duration; (rep, id): all videos by that of their class."""
+    own = sequences(frames).join(videos.select(F.col("id").alias("video_id"), duration().alias("d")), "video_id")
+    digest = F.md5(F.array_join(F.col("codes").cast("array<string>"), ",").cast("binary")).alias("digest")
+    own = scratch.table(own.select("video_id", "d", "codes", digest), "codes")
+    rep = own.groupBy("digest", "d").agg(F.min("video_id").alias("rep"))
+    members = scratch.table(own.select("video_id", "digest", "d").join(rep, ["digest", "d"]).select("rep", F.col("video_id").alias("id")), "members")
+    return scratch.table(own.join(members.where("rep = id").select(F.col("id").alias("video_id")), "video_id", "left_semi").select("video_id", "d", "codes"), "classes"), members
+
+
+def class_pairs(classes: DataFrame, members: DataFrame, p: MatchParams, scratch: Scratch) -> DataFrame:
+    """(short_id, long_id) of classes that may match and pass the gates, a class with itself if it has several videos. Classes of one
+    duration come in both orders: either may be the shorter one."""
+    frames = scratch.table(classes.select("video_id", F.posexplode("codes").alias("frame_idx", "h")), "frames")
+    lengths = classes.select("video_id", "d", F.size("codes").cast("long").alias("n"))
+    codes = scratch.table(frames.groupBy("h").agg(F.count("*").alias("k")), "distinct")
+    told = scratch.table(rarest(frames, lengths.select(F.col("video_id").alias("id"), F.col("n").alias("n_frames")), density(codes), p.min_confidence).join(lengths.where(F.col("d") >= p.window).drop("n"), "video_id"), "telling")
+    shorter = "short_id <> long_id and short_duration " + ("<" if p.filter_length else "<=") + " long_duration"
+    side = lambda x: lengths.select(F.col("video_id").alias(f"{x}_id"), F.col("d").alias(f"{x}_duration"), F.col("n").alias("n" if x == "short" else "m"))
+    if (told.join(codes, "h").agg(F.sum("k")).first()[0] or 0) > classes.count() ** 2:
+        # Frames that most videos share: all pairs are fewer than the votes for them.
+        pairs = side("short").where(F.col("short_duration") >= p.window).crossJoin(side("long")).where(shorter).where("n <= m").select("short_id", "long_id")
+    else:
+        flags = scratch.table(codes.join(told.select("h").distinct().withColumn("flag", F.lit(True)), "h", "left").select("h", F.coalesce("flag", F.lit(False)).alias("flag")), "flags")
+        itself = flags.where("flag").select(F.col("h").alias("h1"), F.col("h").alias("h2"))
+        pairs = scratch.table(flagged_pairs(flags, p.threshold).select("h1", "h2").unionByName(itself), "near")
+        one = told.select(F.col("video_id").alias("short_id"), F.col("frame_idx").alias("i"), F.col("h").alias("h1"), F.col("d").alias("short_duration")).join(side("short").select("short_id", "n"), "short_id")
+        two = frames.select(F.col("video_id").alias("long_id"), F.col("frame_idx").alias("j"), F.col("h").alias("h2")).join(side("long"), "long_id")
+        met = spread_join(one.join(pairs, "h1").drop("h1"), two).withColumn("start", F.col("j") - F.col("i")).where(shorter)
+        met = met.where((F.col("start") >= 0) & (F.col("start") <= F.col("m") - F.col("n")) & (F.col("start") % p.frame_step == 0))
+        pairs = met.select("short_id", "long_id").distinct()
+    if not p.filter_length:
+        several = members.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select(F.col("rep").alias("video_id"))
+        alike = lengths.where(F.col("d") >= p.window).join(several, "video_id").select(F.col("video_id").alias("short_id"), F.col("video_id").alias("long_id"))
+        pairs = pairs.unionByName(alike)
+    return scratch.table(pairs, "pairs")
+
+
+def best_in_blocks(pairs: DataFrame, classes: DataFrame, p: MatchParams, scratch: Scratch) -> DataFrame:
+    """Pairs (short_id, long_id) with short_duration, long_duration, n, start, hits, confidence of their best alignment on the step grid, ties to the first one.
+
+    Videos are dealt to blocks and a task gets the codes of two, so codes are shipped once a pair of blocks and not with every pair.
+    """
+    codes = classes.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()[0]
+    n = max(4, -(-8 * codes // BLOCK_BYTES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    null = lambda t: F.lit(None).cast(t)
+    own = ("video_id", null("long").alias("y"), "d", "codes")
+    rows = classes.where(F.col("d") >= p.window).select(block("video_id").alias("i"), every.alias("j"), F.lit(0).alias("kind"), F.col("video_id").alias("x"), *own[1:])
+    rows = rows.unionByName(classes.select(every.alias("i"), block("video_id").alias("j"), F.lit(1).alias("kind"), F.col("video_id").alias("x"), *own[1:]))
+    rows = rows.unionByName(pairs.select(block("short_id").alias("i"), block("long_id").alias("j"), F.lit(2).alias("kind"), F.col("short_id").alias("x"), F.col("long_id").alias("y"), null("double").alias("d"), null("array<long>").alias("codes")))
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(min(tasks, n * n), "i", "j").sortWithinPartitions("i", "j", "kind")
+    best = rows.mapInArrow(best_rows(p.threshold, p.frame_step), "short_id long, long_id long, short_duration double, long_duration double, n long, start long, hits long")
+    return best.withColumn("confidence", F.col("hits") / F.col("n"))
+
+
+def best_alignments(a: np.ndarray, b: np.ndarray, fa: np.ndarray, fb: np.ndarray, n: np.ndarray, m: np.ndarray, t: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hits) of the best alignment of a[fa : fa + n] in b[fb : fb + m] for each pair; n <= m."""
+    grid = (m - n) // step + 1
+    out = np.zeros((2, len(n)), np.int64)
+    done = np.cumsum(grid)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(done, done[lo] - grid[lo] + ALIGNMENTS, "right")))
+        pair, s = np.repeat(np.arange(lo, hi), grid[lo:hi]), step * ranges(np.zeros(hi - lo, np.int64), grid[lo:hi])
+        hits, long = np.zeros(len(pair), np.int64), np.cumsum(n[pair])
+        at = 0
+        while at < len(pair):
+            end = max(at + 1, int(np.searchsorted(long, long[at] - n[pair[at]] + COMPARED, "right")))
+            row = pair[at:end]
+            agree = np.bitwise_count(a[ranges(fa[row], n[row])] ^ b[ranges(fb[row] + s[at:end], n[row])]) <= t
+            hits[at:end] = np.add.reduceat(agree, np.cumsum(n[row]) - n[row], dtype=np.int64)
+            at = end
+        first = np.cumsum(grid[lo:hi]) - grid[lo:hi]
+        top = np.maximum.reduceat(hits, first)
+        # The first row of its pair that has the pair's maximum.
+        ok = np.flatnonzero(hits == top[pair - lo])
+        new = np.r_[True, pair[ok][1:] != pair[ok][:-1]]
+        out[0, lo:hi], out[1, lo:hi] = s[ok[new]], top
+        lo = hi
+    return out[0], out[1]
+
+
+def best_rows(t: int, step: int):
+    """Best alignments of rows (i, j, kind, x, y, d, codes) that come sorted by block pair and kind: shorter videos, longer ones, pairs."""
+
+    def run(batches):
+        key, sides, ready = None, ([], []), None
+        for rb in batches:
+            i, j, kind = (rb.column(k).to_numpy() for k in range(3))
+            cut = np.flatnonzero(np.r_[True, (np.diff(i) != 0) | (np.diff(j) != 0) | (np.diff(kind) != 0)]) if rb.num_rows else []
+            for lo, hi in zip(cut, [*cut[1:], rb.num_rows], strict=True):
+                part = rb.slice(lo, hi - lo)
+                if (i[lo], j[lo]) != key:
+                    key, sides, ready = (i[lo], j[lo]), ([], []), None
+                x = part.column(3).to_numpy()
+                if kind[lo] < 2:
+                    codes = part.column(6)
+                    sides[kind[lo]].append((x, part.column(5).to_numpy(), pc.list_value_length(codes).to_numpy().astype(np.int64), codes.flatten().to_numpy().view(np.uint64)))
+                    continue
+                if ready is None:
+                    ready = []
+                    for side in sides:
+                        ids, d, size, codes = (np.concatenate(c) for c in zip(*side, strict=True))
+                        order = np.argsort(ids)
+                        ready.append((ids[order], d[order], size[order], (np.cumsum(size) - size)[order], codes))
+                y = part.column(4).to_numpy()
+                (one, d1, n, fa, a), (two, d2, m, fb, b) = ready
+                p, q = np.searchsorted(one, x), np.searchsorted(two, y)
+                fits = n[p] <= m[q]
+                x, y, p, q = x[fits], y[fits], p[fits], q[fits]
+                start, hits = best_alignments(a, b, fa[p], fb[q], n[p], m[q], t, step)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x, y, d1[p], d2[q], n[p], start, hits)], ["short_id", "long_id", "short_duration", "long_duration", "n", "start", "hits"])
+
+    return run
+
+
+def of_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of classes (short_id, long_id, with durations) as pairs of their videos; of one duration the lesser id is the shorter one."""
+    more = [c for c in pairs.columns if c not in ("short_id", "long_id")]
+    one, two = members.select(F.col("rep").alias("short_id"), F.col("id").alias("x")), members.select(F.col("rep").alias("h2"), F.col("id").alias("y"))
+    both = spread_join(pairs.join(one, "short_id").withColumnRenamed("long_id", "h2"), two)
+    return both.where("short_duration < long_duration or x < y").select(F.col("x").alias("short_id"), F.col("y").alias("long_id"), *more)
+
+
+def matched(best: DataFrame, p: MatchParams, more: tuple[str, ...] = ()) -> DataFrame:
+    return best.where(F.col("confidence") >= p.min_confidence).select("short_id", "long_id", match_type().alias("match_type"), "confidence", *more)
 
 
 def telling(frames: DataFrame, videos: DataFrame, near: DataFrame, min_confidence: float) -> DataFrame:
@@ -90,11 +246,16 @@ def telling(frames: DataFrame, videos: DataFrame, near: DataFrame, min_confidenc
     frames near them are taken: a frame that very many videos hold, black or a title, makes no pairs unless most of the video is such.
     """
     rate = near.join(frames.groupBy(F.col("h").alias("h2")).agg(F.count("*").alias("k")), "h2").groupBy(F.col("h1").alias("h")).agg(F.sum("k").alias("near"))
+    return rarest(frames, videos, rate, min_confidence).drop("near")
+
+
+def rarest(frames: DataFrame, videos: DataFrame, rate: DataFrame, min_confidence: float) -> DataFrame:
+    """The same from the number of frames near each code (h, near), which is kept. Whatever it is, no match is lost."""
     place = F.row_number().over(Window.partitionBy("video_id").orderBy("near", "frame_idx"))
     # A little too low a bound takes a frame too many, which does no harm.
     enough = F.col("n_frames") - F.ceil(F.col("n_frames") * min_confidence - 1e-6) + 1
     ranked = frames.select("video_id", "frame_idx", "h").join(rate, "h").withColumn("place", place)
-    return ranked.join(videos.select(F.col("id").alias("video_id"), "n_frames"), "video_id").where(F.col("place") <= enough).select("video_id", "frame_idx", "h")
+    return ranked.join(videos.select(F.col("id").alias("video_id"), "n_frames"), "video_id").where(F.col("place") <= enough).select("video_id", "frame_idx", "h", "near")
 
 
 def starts(frames: DataFrame, videos: DataFrame, p: MatchParams, comparisons: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:

@@ -245,3 +245,35 @@ def test_phash_is_robust():
     bright = np.clip(a.astype(int) + 20, 0, 255)
     d = lambda x, y: distance(int(hashing.phash(x), 16), int(hashing.phash(y), 16))
     assert len(hashing.phash(a)) == 16 and d(a, bright) <= 4 and d(a, a[::2, ::2]) <= 10 and d(a, b) > 10
+
+
+def test_codes_are_shipped_a_few_times():
+    """Seven million codes, those of 1 GB of documents: 8 bytes a copy stay well under the input's size."""
+    plan = hamming_join.choose(10, 7_100_000)
+    assert hamming_join.copies(plan, hamming_join.high_bits(plan, 7_100_000, 24)) < 40
+
+
+def test_pairs_of_flagged_codes(spark, monkeypatch):
+    monkeypatch.setattr(hamming_join, "CELL", 9)
+    r = random.Random(4)
+    codes = sorted({r.getrandbits(22) for _ in range(70)})
+    df = spark.createDataFrame([(h, k % 5 == 0) for k, h in enumerate(codes)], "h long, flag boolean")
+    want = {(a, b, distance(a, b)) for k, a in enumerate(codes) for b in codes if k % 5 == 0 and a != b and distance(a, b) <= 6}
+    for plan in (hamming_join.WHOLE, hamming_join.bands(6, 4)):
+        got = [(x.h1, x.h2, x.dist) for x in hamming_join.flagged_pairs(df, 6, plan).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_copies_are_compared_once(spark):
+    """Thirty copies of one video and ten of another: two classes, whose pairs are compared instead of all of the videos'."""
+    r = random.Random(9)
+    base = [r.getrandbits(64) for _ in range(12)]
+    videos = {k: base for k in range(30)} | {100 + k: base[:11] for k in range(10)}
+    f = frames_df(spark, videos)
+    v = spark.createDataFrame([(i, float(len(h)), len(h)) for i, h in videos.items()], "id long, duration double, n_frames long")
+    p, scratch = match.MatchParams(window=0.0), Scratch(spark, "test")
+    assert match.class_pairs(*match.sequence_classes(f, v, scratch), p, scratch).count() == 3
+    want = {(min(a, b, key=lambda x: (len(videos[x]), x)), max(a, b, key=lambda x: (len(videos[x]), x))) for a in videos for b in videos if a < b}
+    got = [(x.short_id, x.long_id) for x in match.matches(f, v, p).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {(x.a, x.b) for x in match.candidates(f, v, p).collect()} == {(min(x), max(x)) for x in want}
