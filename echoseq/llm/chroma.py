@@ -8,10 +8,11 @@ ratios, each quantised to two Gray-coded bits: one packed 32-bit integer per pos
 Two recordings align at the offset that most pairs of equal integers vote for; over the overlap the bit error rate
 is counted. A link needs an overlap of 0.8 or more of the longer recording and a bit error rate of 0.15 or less.
 
-Candidates are all pairs that vote together for an offset with that overlap by a landmark: the bits of the eight filters
+Links are found in two steps. First of pairs that vote together for an offset with that overlap by a landmark: the bits of the eight filters
 whose values are spread most evenly, at three places a fixed distance apart (see `GAPS`). One integer alone is
 shared by one pair of recordings in seventy by chance, so pairs that share any would grow with the square of the recordings;
-a landmark hardly ever is, and it survives noise better than two whole integers. Of a long recording those
+a landmark hardly ever is. Then all pairs of recordings in different components that share any integer at such an offset are tried, in
+blocks of recordings of like length, so no link is lost; this work grows with the square of the recordings, what is shipped does not grow so. Of a long recording those
 landmarks count whose hash is under MOST over its length: two recordings of a link keep the same ones. Equal
 fingerprints are one node, recordings that links already join are not compared again, and a landmark that very many
 recordings hold is dealt over tasks.
@@ -61,6 +62,8 @@ MARK_BITS = np.uint32(sum(3 << (30 - 2 * f) for f in MARKS))
 STEP_CODES = 1 << 18
 #: Rounds at most, and comparisons a landmark's row at which the exact rest begins.
 ROUNDS, LIGHT = 4, 16
+#: Bytes of integers of a block of recordings in the exact rest.
+REST = 1 << 22
 #: Frames whose spectra are taken at once.
 FRAMES = 4096
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
@@ -293,31 +296,139 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return offset, e - s, int(np.bitwise_count(a[s:e] ^ b[s + offset : e + offset]).sum())
 
 
-def share_landmark(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether a landmark of both votes for an offset with the overlap that a link needs."""
-    (ka, pa_, _), (kb, pb, _) = landmarks(a, np.array([len(a)])), landmarks(b, np.array([len(b)]))
-    order = np.argsort(kb, kind="stable")
-    lo, hi = np.searchsorted(kb[order], ka, "left"), np.searchsorted(kb[order], ka, "right")
-    offset = pb[order][w.ranges(lo, hi - lo)] - np.repeat(pa_, hi - lo)
-    overlap = np.minimum(len(a), len(b) - offset) - np.maximum(0, -offset)
-    return bool((overlap >= OVERLAP * max(len(a), len(b))).any())
-
-
 def linked(x: bytes, y: bytes) -> bool:
     a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
     most = max(len(a), len(b))
-    if not most or min(len(a), len(b)) < OVERLAP * most or not share_landmark(a, b):
+    if not most or min(len(a), len(b)) < OVERLAP * most or not np.isin(a, b).any():
         return False
     _, overlap, errors = align(a, b)
     return overlap >= OVERLAP * most and errors <= ERRORS * 32 * overlap
 
 
+def errors_within(a: np.ndarray, b: np.ndarray, at: np.ndarray, to: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which runs a[at : at + n] and b[to : to + n] differ in `most` bits at most. Nearly all are rejected by less than half of them."""
+    ok = np.arange(len(n))
+    for size in ((9 * n + 19) // 20, n):
+        ok, k = ok[size[ok] > 0], size[ok][size[ok] > 0]
+        keep, end = np.zeros(len(ok), bool), np.cumsum(k)
+        lo = 0
+        while lo < len(ok):
+            hi = max(lo + 1, int(np.searchsorted(end, end[lo] - k[lo] + STEP_CODES, "right")))
+            x, m = ok[lo:hi], k[lo:hi]
+            bits = np.bitwise_count(a[w.ranges(at[x], m)] ^ b[w.ranges(to[x], m)])
+            keep[lo:hi] = np.add.reduceat(bits, np.cumsum(m) - m, dtype=np.int64) <= most[x]
+            lo = hi
+        ok = ok[keep]
+    return ok
+
+
+def block_pairs(one: tuple, two: tuple | None):
+    """(la, lb): labels of recordings that link though their labels differ, of two blocks (labels, sizes, integers), or of one with itself.
+
+    Every pair that shares an integer at an offset with the overlap is tried there: an offset that has won the votes is among them.
+    """
+    same, two = two is None, two or one
+    (la, na, a), (lb, nb, b) = one, two
+    fa, fb = np.cumsum(na) - na, np.cumsum(nb) - nb
+    ra, rb = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    # Integers of the second block by value and label, so that a posting skips those of its own label at once.
+    names, rank = np.unique(np.r_[la, lb], return_inverse=True)
+    key_a = a.astype(np.uint64) << np.uint64(32) | rank[: len(la)][ra].astype(np.uint64)
+    key_b = b.astype(np.uint64) << np.uint64(32) | rank[len(la) :][rb].astype(np.uint64)
+    order = np.argsort(key_b)
+    sorted_b = key_b[order]
+    low = key_a & ~np.uint64(0xFFFFFFFF)
+    lo, hi = np.searchsorted(sorted_b, low), np.searchsorted(sorted_b, low | np.uint64(0xFFFFFFFF), "right")
+    mid, end = np.searchsorted(sorted_b, key_a), np.searchsorted(sorted_b, key_a, "right")
+    known = set()
+    for start, n in ((lo, mid - lo), (end, hi - end)):
+        # One of a block's own pairs comes twice, once from either side: the greater label's is left.
+        some = np.flatnonzero(n) if not (same and start is end) else np.zeros(0, np.int64)
+        done = np.cumsum(n[some])
+        p = 0
+        while p < len(some):
+            q = max(p + 1, int(np.searchsorted(done, done[p] - n[some[p]] + VOTES, "right")))
+            x = np.repeat(some[p:q], n[some[p:q]])
+            y = order[w.ranges(start[some[p:q]], n[some[p:q]])]
+            p = q
+            i, j = ra[x], rb[y]
+            offset = (y - fb[j]) - (x - fa[i])
+            most = np.maximum(na[i], nb[j])
+            s = np.maximum(0, -offset)
+            overlap = np.minimum(na[i], nb[j] - offset) - s
+            ok = np.flatnonzero(overlap >= OVERLAP * most)
+            if not len(ok):
+                continue
+            _, new = np.unique(((i * len(nb) + j) * (len(a) + len(b)) + offset + len(a))[ok], return_index=True)
+            ok = ok[new]
+            i, j, s, offset, overlap = i[ok], j[ok], s[ok], offset[ok], overlap[ok]
+            good = errors_within(a, b, fa[i] + s, fb[j] + s + offset, overlap, ERRORS * 32 * overlap)
+            for u, v in set(zip(i[good].tolist(), j[good].tolist(), strict=True)):
+                link = (int(la[u]), int(lb[v]))
+                if link not in known and linked(a[fa[u] : fa[u] + na[u]].tobytes(), b[fb[v] : fb[v] + nb[v]].tobytes()):
+                    known.add(link)
+    return known
+
+
+def rest_rows(batches):
+    """Links (a, b) of labels from rows (c, i, d, j, kind, label, codes) that come sorted by pair of blocks and kind."""
+    key, sides = None, ([], [])
+
+    def met():
+        if sides[0] and (sides[1] or key[:2] == key[2:]):
+            both = []
+            for side in sides:
+                size = np.array([len(x) // 4 for _, x in side], np.int64)
+                both.append((np.array([label for label, _ in side], np.int64), size, np.frombuffer(b"".join(x for _, x in side), np.uint32)))
+            found = sorted(block_pairs(both[0], both[1] if sides[1] else None))
+            yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], ["a", "b"])
+
+    for rb in batches:
+        for *here, kind, label, codes in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+            if here != key:
+                yield from met()
+                key, sides = here, ([], [])
+            if kind == 0 or sides[0]:
+                sides[kind].append((label, codes))
+    yield from met()
+
+
+def rest_links(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): links between components that no landmark has found, of all pairs of recordings. Blocks of recordings of like length meet each other."""
+    long = lambda x: F.lit(x).cast("long")
+    size = F.octet_length("codes") / 4
+    rows = nodes.where("octet_length(codes) > 0").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"), "codes")
+    # Lengths of a link differ by a class at most; the base is a little over 1 / OVERLAP.
+    rows = rows.withColumn("c", F.floor(F.log(size) / float(np.log(1.0001 / OVERLAP))).cast("long"))
+    held = {r["c"]: -(-4 * r["n"] // REST) for r in rows.groupBy("c").agg(F.sum(size.cast("long")).alias("n")).collect()}
+    parts = F.array(*[long(int(held.get(c, 0))) for c in range(max(held, default=0) + 2)])
+    of = lambda c: F.coalesce(F.get(parts, c.cast("int")), long(0))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), of(F.col("c"))))
+    c, i = F.col("c"), F.col("i")
+    key = lambda a, b, d, e, kind: F.struct(a.alias("c"), b.alias("i"), d.alias("d"), e.alias("j"), F.lit(kind).alias("kind"))
+    upto = lambda lo, n: F.when(n > lo, F.sequence(lo, n - 1)).otherwise(F.array().cast("array<bigint>"))
+    there = F.concat(
+        F.transform(upto(i, of(c)), lambda j: key(c, i, c, j, 0)), F.transform(upto(long(0), of(c + 1)), lambda j: key(c, i, c + 1, j, 0)),
+        F.transform(upto(long(0), i), lambda j: key(c, j, c, i, 1)), F.transform(upto(long(0), F.when(c > 0, of(c - 1)).otherwise(long(0))), lambda j: key(c - 1, j, c, i, 1)),
+    )
+    rows = rows.select(F.explode(there).alias("k"), "label", "codes").select("k.*", "label", "codes")
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "c", "i", "d", "j").sortWithinPartitions("c", "i", "d", "j", "kind")
+    return rows.mapInArrow(rest_rows, "a long, b long")
+
+
 #: Whether an offset of x in the other recording at which this landmark votes may have the overlap.
 MEETS = f"id <> x and hi - lx >= {OVERLAP} * greatest(size, sx) - sx and lo - hx <= size - {OVERLAP} * greatest(size, sx)"
 
 
 def link_recordings(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, label) for every recording of `nodes` (id, codes) that has a link: star rounds over shared landmarks, then an exact rest by blocks, as in `linking`."""
+    """(node, label) for every recording of `nodes` (id, codes) that has a link: by landmarks first, then the exact rest."""
+    labels = landmark_links(nodes, scratch)
+    return grown_components(labels, scratch.table(rest_links(nodes, labels), "rest"), scratch.table)
+
+
+def landmark_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same of recordings that share a landmark: star rounds, then the landmarks' rest by blocks, as in `linking`."""
     held = nodes.select("id", "codes")
     # Nearly all landmarks are of one recording only; their places are made again for those that are not, rather than written.
     shared = scratch.table(held.mapInArrow(marks, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from echoseq.llm import chroma, packing, records, shards, tokens, topk, toxicity, warc
+from echoseq.llm import chroma, common, packing, records, shards, tokens, topk, toxicity, warc
 from echoseq.scratch import Scratch
 
 from . import fixtures
@@ -368,6 +368,27 @@ def test_shifted_and_noisy_recordings_link(spark):
     assert got == {**{i: i for i in range(1, 7)}, 11: 1, 12: 2, 13: 3}
 
 
+def test_links_without_a_shared_landmark(spark, monkeypatch):
+    """Bit errors of 0.08 that leave no landmark whole, only one integer in three; and recordings that share one integer by chance."""
+    monkeypatch.setattr(chroma, "REST", 1 << 9)
+    r = np.random.default_rng(6)
+    own = [r.integers(0, 1 << 32, n, dtype=np.uint32) for n in (40, 45, 60, 61, 200, 3) * 6]
+    for k in range(len(own)):
+        copy = own[k].copy()
+        copy[np.arange(len(copy)) % 3 != 0] ^= np.uint32(sum(1 << (30 - 2 * f) for f in chroma.MARKS[:4]))
+        own.append(copy[k % 3 :] if len(copy) > 40 else copy)
+    for k in range(1, 36):
+        own[k][5 % len(own[k])] = own[0][0]
+    nodes = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(own)], "id long, codes binary")
+    found = {x.node: x.label for x in chroma.link_recordings(nodes, common.Scratch(spark, "test")).collect()}
+    up = list(range(len(own)))
+    for b in range(len(own)):
+        for a in range(b):
+            if chroma.linked(own[a].tobytes(), own[b].tobytes()) and up[a] != up[b]:
+                up = [min(up[a], up[b]) if x in (up[a], up[b]) else x for x in up]
+    assert [found.get(k, k) for k in range(len(own))] == up and sum(up[k + 36] == up[k] for k in range(36)) >= 30
+
+
 def test_short_copies_share_a_class(spark):
     """Audio without integers: equal samples are one class, null and empty audio stay apart."""
     x = tone(50, 800)
