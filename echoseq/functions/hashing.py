@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FRAME_WORDS = 32
+#: Words whose bits are counted at once.
+WORDS = 1 << 18
 
 
 def from_hex(c: Column | str) -> Column:
@@ -53,6 +58,37 @@ def simhash_of_sums() -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
+def simhash_rows(words: int = FRAME_WORDS):
+    """(id, frame_idx, h) of rows (id, text in lower case): the same codes from a text in one row. A word is hashed once a batch."""
+
+    def run(batches):
+        for rb in batches:
+            lists = pc.ascii_split_whitespace(rb.column(1))
+            size, word = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten()
+            there = pc.greater(pc.binary_length(word), 0).to_numpy(zero_copy_only=False)
+            end, last = np.r_[0, np.cumsum(there)], np.cumsum(size)
+            n = end[last] - end[last - size]
+            word = word.filter(pa.array(there)).dictionary_encode()
+            known = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:8]) for w in word.dictionary.to_pylist()], np.uint64)
+            parts = -(-n // words)
+            first = np.cumsum(parts) - parts
+            codes = np.zeros(parts.sum() * words, np.uint64)
+            if len(codes):
+                codes[np.arange(n.sum()) + np.repeat(words * first - (np.cumsum(n) - n), n)] = known[word.indices.to_numpy()]
+            codes = codes.reshape(-1, words)
+            frame = np.arange(len(codes)) - np.repeat(first, parts)
+            full = np.minimum(words, np.repeat(n, parts) - words * frame)
+            h, step = np.zeros(len(codes), np.uint64), max(1, WORDS // words)
+            for lo in range(0, len(codes), step):
+                part = codes[lo : lo + step]
+                ones = np.unpackbits(part.view(np.uint8).reshape(*part.shape, 8), axis=2, bitorder="little").sum(1, dtype=np.int32)
+                more = 2 * ones.reshape(len(part), -1) > full[lo : lo + step, None]
+                h[lo : lo + step] = np.packbits(more, axis=1, bitorder="little").view(np.uint64).ravel()
+            yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(np.repeat(np.arange(rb.num_rows), parts))), pa.array(frame.astype(np.int64)), pa.array(h.view(np.int64))], ["video_id", "frame_idx", "h"])
+
+    return run
+
+
 def sign_hash(vector: Column) -> Column:
     """Most significant bit first: 1 where the component is positive. For 64 components."""
     bits = [F.shiftleft((F.get(vector, F.lit(i)) > 0).cast("bigint"), 63 - i) for i in range(64)]

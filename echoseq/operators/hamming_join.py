@@ -29,7 +29,7 @@ SHIP = 300
 #: Codes of a block, codes of a part of a group (and of a part without bands), codes that a task sorts at once, and pairs verified at once.
 BLOCK, CELL, WHOLE_CELL, STEP, PAIRS = 1 << 17, 1 << 20, 1 << 14, 1 << 20, 1 << 17
 #: Codes of a cell, on average, from which comparing outweighs looking cells up.
-DENSE = 64
+DENSE = 32
 #: Rows of a batch of results.
 OUT = 1 << 16
 #: Rows of a code that one part of a join on codes takes.
@@ -179,6 +179,15 @@ def as_rows(found, codes: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d.astype(np.int32))], ["h1", "h2", "dist"])
 
 
+def as_counts(found, codes: np.ndarray):
+    """(dist, n): how many pairs there are of each distance."""
+    total = np.zeros(65, np.int64)
+    for _, _, d in found:
+        total += np.bincount(d, minlength=65)
+    dist = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(dist.astype(np.int32)), pa.array(total[dist])], ["dist", "n"])
+
+
 def of_own(found, codes: np.ndarray):
     """(h1, h2, dist) with h1 of the own codes, but for a code with itself."""
     h = codes.view(np.int64)
@@ -199,8 +208,8 @@ def gathered(found):
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def verify(plan: list[tuple[int, int, int]], t: int, mutual: bool = True):
-    """Pairs within t of rows (band, cell, part, probe, codes) that come sorted by cell and part, stored codes first."""
+def verify(plan: list[tuple[int, int, int]], t: int, mutual: bool = True, rows=None):
+    """`rows` of the pairs within t of rows (band, cell, part, probe, codes) that come sorted by cell and part, stored codes first."""
 
     def run(batches):
         key, held = None, ([], [])
@@ -208,7 +217,7 @@ def verify(plan: list[tuple[int, int, int]], t: int, mutual: bool = True):
         def met():
             if held[0] and (mutual or held[1]):
                 own, other = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in held)
-                yield from (as_rows if mutual else of_own)(meetings(own, other, plan, key[0], t, mutual), np.concatenate([own, other]))
+                yield from (rows or (as_rows if mutual else of_own))(meetings(own, other, plan, key[0], t, mutual), np.concatenate([own, other]))
 
         for rb in batches:
             for *here, probe, codes in zip(*(c.to_pylist() for c in rb.columns), strict=True):
@@ -257,22 +266,22 @@ def placed(codes: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
     return codes.where("h is not null").select("h").mapInArrow(place(plan), BLOCKS)
 
 
-def block_pairs(rows: DataFrame, t: int, plan: list[tuple[int, int, int]]) -> DataFrame:
-    """(h1, h2, dist) from a written table of blocks."""
+def block_pairs(rows: DataFrame, t: int, plan: list[tuple[int, int, int]], counts: bool = False) -> DataFrame:
+    """(h1, h2, dist) from a written table of blocks; with counts, (dist, n) for the tasks' pairs, which stay where they are found."""
     rows = rows.where("probe = 0")
     n = rows.where("band = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     high = high_bits(plan, n, 4 * rows.sparkSession.sparkContext.defaultParallelism)
     low = per_band([F.lit(w - g) for (_, w, _), g in zip(plan, high, strict=True)])
     rows = rows.withColumn("low", low).select("band", F.expr("shiftright(cell, low)").alias("cell"), "probe", "n", "codes")
-    return group_pairs(rows, rows.groupBy("band", "cell").agg(F.sum("n").alias("n")), t, plan, high)
+    return group_pairs(rows, rows.groupBy("band", "cell").agg(F.sum("n").alias("n")), t, plan, high, counts=counts)
 
 
 def per_band(values: list[Column]) -> Column:
     return F.get(F.array(*values), "band")
 
 
-def group_pairs(rows: DataFrame, sizes: DataFrame, t: int, plan: list[tuple[int, int, int]], high: list[int], mutual: bool = True) -> DataFrame:
-    """Pairs from blocks (band, cell, probe, codes) by groups of cells, and the groups' numbers of codes.
+def group_pairs(rows: DataFrame, sizes: DataFrame, t: int, plan: list[tuple[int, int, int]], high: list[int], mutual: bool = True, counts: bool = False) -> DataFrame:
+    """Pairs, or their counts, from blocks (band, cell, probe, codes) by groups of cells, and the groups' numbers of codes.
 
     Mutual: stored blocks meet each other. Else stored ones meet probes only.
     """
@@ -295,7 +304,7 @@ def group_pairs(rows: DataFrame, sizes: DataFrame, t: int, plan: list[tuple[int,
         rows = rows.withColumn("probe", F.when((F.col("mask") == 0) & (F.col("part") == F.col("first")), F.lit(0)).otherwise(F.lit(1)))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select("band", "cell", "part", "probe", "codes").repartition(tasks, "band", "cell", "part").sortWithinPartitions("band", "cell", "part", "probe")
-    return rows.mapInArrow(verify(plan, t, mutual), PAIR)
+    return rows.mapInArrow(verify(plan, t, mutual, as_counts if counts else None), "dist int, n long" if counts else PAIR)
 
 
 def density(codes: DataFrame) -> DataFrame:
@@ -323,7 +332,7 @@ def near_codes(frames: DataFrame, t: int) -> DataFrame:
 
 
 def near_of(frames: DataFrame, t: int, plan: list[tuple[int, int, int]] | None = None, blocks: DataFrame | None = None, written: bool = True) -> DataFrame:
-    """The same from blocks that are there already, for the plan that made them. Not written, it is for one reader that adds the rows up."""
+    """The same from blocks that are there already, for the plan that made them. Not written, it is for one reader."""
     scratch = Scratch(frames.sparkSession, "codes")
     codes = scratch.table(frames.select("h").distinct(), "distinct")
     pairs = code_pairs(codes, t, plan) if blocks is None else block_pairs(blocks, t, plan)
@@ -334,6 +343,12 @@ def near_of(frames: DataFrame, t: int, plan: list[tuple[int, int, int]] | None =
     return scratch.table(near, "near") if written else near
 
 
+def near_counts(codes: DataFrame, t: int, plan: list[tuple[int, int, int]], blocks: DataFrame) -> DataFrame:
+    """(dist, n): rows of near codes by distance, from the blocks of the distinct codes. Pairs are counted where they are found."""
+    both = block_pairs(blocks, t, plan, True).select("dist", (2 * F.col("n")).alias("n"))
+    return both.unionByName(codes.select(F.lit(0).alias("dist"), F.lit(1).cast("long").alias("n"))).groupBy("dist").agg(F.sum("n").alias("n"))
+
+
 def spread_join(half: DataFrame, other: DataFrame) -> DataFrame:
     """Joined on h2. A code with more than ROWS rows of `other` is split by them into parts, and so over tasks."""
     full = other.groupBy("h2").agg(F.ceil(F.count("*") / ROWS).alias("parts")).where("parts > 1")

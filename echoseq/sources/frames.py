@@ -22,9 +22,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def doc_frames(documents: DataFrame, fps: float = 1.0, words: int = H.FRAME_WORDS) -> DataFrame:
-    """Each run of `words` words is a frame; its code is the SimHash of the words' MD5 prefixes."""
+    """Each run of `words` words is a frame; its code is the SimHash of the words' MD5 prefixes. Rows of one id add up.
+
+    Where no id repeats, a document's frames come from its own row and nothing is shuffled.
+    """
+    rows = spread(documents.select("doc_id", "text"), "doc_id")
+    if documents.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kind = documents.schema["doc_id"].dataType.simpleString()
+        text = rows.where("text is not null").select(F.col("doc_id").alias("video_id"), F.lower("text").alias("text"))
+        return shape(text.mapInArrow(H.simhash_rows(words), f"video_id {kind}, frame_idx long, h long"), fps)
     w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    rows = spread(documents.select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("video_id"), F.posexplode(w).alias("pos", "word"))
+    rows = rows.select(F.col("doc_id").alias("video_id"), F.posexplode(w).alias("pos", "word"))
     rows = rows.select("video_id", F.floor(F.col("pos") / words).alias("frame_idx"), H.word_code(F.col("word")).alias("u"))
     sums = rows.groupBy("video_id", "frame_idx").agg(*H.simhash_sums(F.col("u")))
     return shape(sums.select("video_id", "frame_idx", H.simhash_of_sums().alias("h")), fps)

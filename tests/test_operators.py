@@ -1,6 +1,8 @@
 """Kernels against plain Python: codes, Hamming join, alignment, components, plans and table changes."""
 
+import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from echoseq.functions import hashing, paths
 from echoseq.operators import graph, hamming_join, match, organise, reconcile, tables
 from echoseq.scratch import Scratch
-from echoseq.sources import decode
+from echoseq.sources import decode, frames
 
 
 def signed(x):
@@ -277,3 +279,43 @@ def test_copies_are_compared_once(spark):
     got = [(x.short_id, x.long_id) for x in match.matches(f, v, p).collect()]
     assert len(got) == len(want) and set(got) == want
     assert {(x.a, x.b) for x in match.candidates(f, v, p).collect()} == {(min(x), max(x)) for x in want}
+
+
+def test_frames_of_documents_come_from_their_rows(spark):
+    """The codes of the shuffled way, without a shuffle where no id repeats; rows of one id add up."""
+    texts = [None, "", " \n ", "ÀÉ \tB  c\n", " ISTANBUL Êa\x1cz ", "a " * 64, "b " * 65, " ".join(f"W{k}" for k in range(200))]
+
+    def plain(rows):
+        words = {}
+        for i, text in rows:
+            for k, w in enumerate(w for w in re.split(r"[ \t\n\f\r]+", (text or "").lower()) if w):
+                words.setdefault((i, k // 32), []).append(int(hashlib.md5(w.encode()).hexdigest()[:16], 16))
+        return {k: sum((2 * sum(u >> b & 1 for u in us) > len(us)) << b for b in range(64)) for k, us in words.items()}
+
+    for rows in ([(k, x) for k, x in enumerate(texts)], [(k // 2, x) for k, x in enumerate(texts)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        got = frames.doc_frames(df).collect()
+        assert len(got) == len({(x.video_id, x.frame_idx) for x in got})
+        assert {(x.video_id, x.frame_idx): int(x.phash, 16) for x in got} == plain(rows)
+    wide = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(spark.sparkContext.defaultParallelism)
+    plan = frames.doc_frames(wide)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("plan", [hamming_join.WHOLE, hamming_join.bands(10, 4)])
+def test_near_codes_are_counted_where_they_are_found(spark, plan):
+    r = random.Random(6)
+    codes = sorted({r.getrandbits(24) for _ in range(90)})
+    df = Scratch(spark, "test").table(spark.createDataFrame([(h,) for h in codes], "h long"), "codes")
+    want = {}
+    for a in codes:
+        for b in codes:
+            if distance(a, b) <= 10:
+                want[distance(a, b)] = want.get(distance(a, b), 0) + 1
+    blocks = Scratch(spark, "test").table(hamming_join.placed(df, plan), "blocks")
+    assert {x.dist: x.n for x in hamming_join.near_counts(df, 10, plan, blocks).collect()} == want
+
+
+def test_plan_weighs_cells_against_comparisons():
+    """The 3.5 million codes of half a GB of documents: visiting 16-bit cells costs less than the comparisons it saves."""
+    assert [len(hamming_join.choose(10, n)) for n in (700_000, 3_500_000)] == [5, 4]
