@@ -319,3 +319,26 @@ def test_near_codes_are_counted_where_they_are_found(spark, plan):
 def test_plan_weighs_cells_against_comparisons():
     """The 3.5 million codes of half a GB of documents: visiting 16-bit cells costs less than the comparisons it saves."""
     assert [len(hamming_join.choose(10, n)) for n in (700_000, 3_500_000)] == [5, 4]
+
+
+def test_members_are_paired_in_blocks(spark, monkeypatch):
+    """Classes of more videos than a row holds, with each other and with themselves; matches are not shuffled once they are found."""
+    monkeypatch.setattr(match, "MEMBERS", 4)
+    monkeypatch.setattr(match, "OUT", 7)
+    r = random.Random(2)
+    base = [r.getrandbits(64) for _ in range(12)]
+    videos = {k: base for k in range(0, 30, 2)} | {k: [*base[:11], r.getrandbits(64)] for k in (1, 3)} | {k: base[:11] for k in range(101, 110)}
+    f = frames_df(spark, videos)
+    v = spark.createDataFrame([(i, float(len(h)), len(h)) for i, h in videos.items()], "id long, duration double, n_frames long")
+    key = lambda x: (len(videos[x]), x)
+    want = {(min(a, b, key=key), max(a, b, key=key)) for a in videos for b in videos if a < b}
+    found = match.matches(f, v, match.MatchParams())
+    got = [(x.short_id, x.long_id) for x in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("MapInArrow")[0]
+    both = [(x.a, x.b) for x in match.candidates(f, v, match.MatchParams()).collect()]
+    assert len(both) == len(want) and set(both) == {(min(x), max(x)) for x in want}
+    done = spark.createDataFrame([(max(x), min(x)) for x in want if sum(x) % 3], "video_a_id long, video_b_id long")
+    left = [(x.short_id, x.long_id) for x in match.matches(f, v, match.MatchParams(), done).collect()]
+    assert len(left) == len(set(left)) and set(left) == {x for x in want if sum(x) % 3 == 0}
