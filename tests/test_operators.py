@@ -342,3 +342,9 @@ def test_members_are_paired_in_blocks(spark, monkeypatch):
     done = spark.createDataFrame([(max(x), min(x)) for x in want if sum(x) % 3], "video_a_id long, video_b_id long")
     left = [(x.short_id, x.long_id) for x in match.matches(f, v, match.MatchParams(), done).collect()]
     assert len(left) == len(set(left)) and set(left) == {x for x in want if sum(x) % 3 == 0}
+
+
+def test_near_codes_of_one_reader_are_not_written(spark, videos):
+    f = frames_df(spark, videos)
+    for pairs in (hamming_join.candidate_pairs(f, 10), hamming_join.knn_candidate_pairs(f, 10), hamming_join.frame_pairs(f, 10)):
+        assert not [x for x in pairs.inputFiles() if "-near" in x]
