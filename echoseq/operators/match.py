@@ -7,16 +7,21 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from . import planes
 from .hamming_join import density, flagged_pairs, frame_pairs, near_codes, ranges, spread_join
 
 #: Bytes of codes of a block of videos; alignments, and frames of them, that a task compares at once.
 BLOCK_BYTES, ALIGNMENTS, COMPARED = 1 << 26, 1 << 17, 1 << 19
 #: Videos of a class that one row holds, and pairs of videos of a batch of results.
 MEMBERS, OUT = 256, 1 << 16
+#: Frames of a block of videos that meets all other blocks, and blocks a core at least.
+FRAMES, BLOCKS = 1 << 22, 4
+FOUND = "short_id long, long_id long, short_duration double, long_duration double, n long, start long, hits long"
 
 
 @dataclass(frozen=True)
@@ -86,12 +91,16 @@ def matches(frames: DataFrame, videos: DataFrame, p: MatchParams, comparisons: D
     """short_id, long_id, match_type, confidence. `frames` must be a written table: it is read several times.
 
     Videos of equal codes and duration are compared as one; neither near codes nor alignments nor matches are written or shuffled,
-    only the pairs of such classes that a telling frame brings together.
+    only the pairs of such classes that a telling frame brings together. Of sequences of few codes, not even those.
     """
     scratch = Scratch(frames.sparkSession, "match")
     classes, members = sequence_classes(frames, videos, scratch)
-    pairs = class_pairs(classes, members, p, scratch)
-    found = best_in_blocks(pairs, classes, members, p, scratch).withColumn("confidence", F.col("hits") / F.col("n"))
+    few = few_codes(classes, p)
+    if few is None:
+        found = best_in_blocks(class_pairs(classes, members, p, scratch), classes, members, p, scratch)
+    else:
+        found = all_in_blocks(classes, members, few, planes.best_of_all(int(few[1].max()), p.frame_step, p.min_confidence, p.window), scratch, p.filter_length)
+    found = found.withColumn("confidence", F.col("hits") / F.col("n"))
     out = found.select("short_id", "long_id", match_type().alias("match_type"), "confidence")
     if comparisons is None:
         return out
@@ -105,6 +114,10 @@ def candidates(frames: DataFrame, videos: DataFrame, p: MatchParams) -> DataFram
     """(a, b), a < b: the pairs that `matches` compares, each once."""
     scratch = Scratch(frames.sparkSession, "match")
     classes, members = sequence_classes(frames, videos, scratch)
+    few = few_codes(classes, p)
+    if few is not None:
+        met = all_in_blocks(classes, members, few, planes.all_of_all(p.window), scratch, p.filter_length)
+        return met.select(F.least("short_id", "long_id").alias("a"), F.greatest("short_id", "long_id").alias("b"))
     pairs = class_pairs(classes, members, p, scratch)
     # Of one duration, a pair of classes comes in either order or both; the order that is not by duration gives no pair of videos.
     pairs = pairs.union(pairs.select("long_id", "short_id")).distinct()
@@ -116,7 +129,7 @@ def candidates(frames: DataFrame, videos: DataFrame, p: MatchParams) -> DataFram
 def sequence_classes(frames: DataFrame, videos: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(video_id, d, codes): a video of every class of equal codes and duration; (rep, id): all videos by that of their class."""
     own = sequences(frames).join(videos.select(F.col("id").alias("video_id"), duration().alias("d")), "video_id")
-    digest = F.md5(F.array_join(F.col("codes").cast("array<string>"), ",").cast("binary")).alias("digest")
+    digest = F.md5(F.array_join(F.col("codes").cast("array<string>"), ",", "-").cast("binary")).alias("digest")
     own = scratch.table(own.select("video_id", "d", "codes", digest), "codes")
     rep = own.groupBy("digest", "d").agg(F.min("video_id").alias("rep"))
     members = scratch.table(own.select("video_id", "digest", "d").join(rep, ["digest", "d"]).select("rep", F.col("video_id").alias("id")), "members")
@@ -125,6 +138,26 @@ def sequence_classes(frames: DataFrame, videos: DataFrame, scratch: Scratch) ->
     return classes, members
 
 
+def few_codes(classes: DataFrame, p: MatchParams) -> tuple[np.ndarray, np.ndarray] | None:
+    """(codes, their numbers) if codes are few and so common that telling frames make more votes than there are pairs of classes."""
+    codes = classes.select(F.explode("codes").alias("h")).where("h is not null")
+    if codes.agg(F.approx_count_distinct("h")).first()[0] > 2 * planes.CODES:
+        return None
+    counts = codes.groupBy("h").count().limit(planes.CODES + 1).collect()
+    if not 0 < len(counts) <= planes.CODES:
+        return None
+    n = F.size("codes")
+    told = F.sum(F.when(F.col("d") >= p.window, n - F.ceil(n * p.min_confidence - 1e-6) + 1))
+    many, told = classes.agg(F.count("*"), F.coalesce(told, F.lit(0))).first()
+    # At least so many votes: the rarest codes are telling.
+    k = np.sort(np.array([r["count"] for r in counts], np.int64))
+    if sum(int(a) * int(b) for a, b in zip(np.minimum(k, np.maximum(told - (np.cumsum(k) - k), 0)), k, strict=True)) <= many**2:
+        return None
+    codes = np.sort(np.array([r["h"] for r in counts], np.int64).view(np.uint64))
+    number = planes.numbers(codes, p.threshold)
+    return None if number is None else (codes, number)
+
+
 def class_pairs(classes: DataFrame, members: DataFrame, p: MatchParams, scratch: Scratch) -> DataFrame:
     """(short_id, long_id) of classes that may match and pass the gates, a class with itself if it has several videos. Classes of one
     duration come in both orders: either may be the shorter one."""
@@ -171,9 +204,7 @@ def in_blocks(pairs: DataFrame, classes: DataFrame, members: DataFrame, n: int,
     So codes and members are shipped once a pair of blocks and not with every pair, and members' pairs are not shuffled. A class
     of more than MEMBERS videos is several, each with the same codes.
     """
-    part = F.floor((F.row_number().over(Window.partitionBy("rep").orderBy("id")) - 1) / MEMBERS)
-    units = members.withColumn("part", part).groupBy("rep", "part").agg(F.min("id").alias("unit"), F.sort_array(F.collect_list("id")).alias("ids"))
-    units = scratch.table(units.select("rep", "unit", "ids"), "units")
+    units = scratch.table(units_of(members), "units")
     more = scratch.table(units.groupBy("rep").agg(F.collect_list("unit").alias("units")).where(F.size("units") > 1), "more")
     for x in ("short_id", "long_id"):
         split = more.select(F.col("rep").alias(x), F.col("units").alias("split"))
@@ -190,7 +221,90 @@ def in_blocks(pairs: DataFrame, classes: DataFrame, members: DataFrame, n: int,
     rows = rows.unionByName(pairs.select(block("short_id").alias("i"), block("long_id").alias("j"), F.lit(2).alias("kind"), F.col("short_id").alias("x"), F.col("long_id").alias("y"), null("double").alias("d"), null("array<long>").alias("codes"), null("array<long>").alias("ids")))
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(min(tasks, n * n), "i", "j").sortWithinPartitions("i", "j", "kind")
-    return rows.mapInArrow(block_rows(run), "short_id long, long_id long, short_duration double, long_duration double, n long, start long, hits long")
+    return rows.mapInArrow(block_rows(run), FOUND)
+
+
+def units_of(members: DataFrame) -> DataFrame:
+    """(rep, unit, ids): up to MEMBERS videos of a class, by the least id of them."""
+    part = F.floor((F.row_number().over(Window.partitionBy("rep").orderBy("id")) - 1) / MEMBERS)
+    units = members.withColumn("part", part).groupBy("rep", "part").agg(F.min("id").alias("unit"), F.sort_array(F.collect_list("id")).alias("ids"))
+    return units.select("rep", "unit", "ids")
+
+
+def all_in_blocks(classes: DataFrame, members: DataFrame, few: tuple[np.ndarray, np.ndarray], run, scratch: Scratch, strict: bool) -> DataFrame:
+    """What `run` makes of all pairs of classes of few codes: packed blocks of videos, written once, meet in a product that shuffles no pairs.
+
+    strict: only of different durations."""
+    kind = np.uint8 if few[1].max() < 255 else np.uint16
+    n = BLOCKS * classes.sparkSession.sparkContext.defaultParallelism
+    own = classes.mapInArrow(numbered_rows(*few, kind), "video_id long, d double, codes binary")
+    own = own.join(units_of(members).withColumnRenamed("rep", "video_id"), "video_id").select("d", "codes", "ids")
+    names = ("d", "size", "codes", "many", "ids")
+    blocks = scratch.table(own.repartition(n).mapInArrow(block_of(kind), "i int, " + ", ".join(f"{c} binary" for c in names)), "blocks")
+    one = blocks.repartitionById(n, F.col("i")).select(*(F.col(c).alias(f"{c}_1") for c in names))
+    two = blocks.select(*(F.col(c).alias(f"{c}_2") for c in names)).hint("shuffle_replicate_nl")
+    return one.crossJoin(two).mapInArrow(product_rows(run, kind, strict), FOUND)
+
+
+def numbered_rows(codes: np.ndarray, number: np.ndarray, kind):
+    """(video_id, d, codes) with the numbers of codes as bytes; null is one more than the last."""
+
+    def rows(batches):
+        for rb in batches:
+            flat = rb.column(2).flatten()
+            null = flat.is_null().to_numpy(zero_copy_only=False)
+            x = number[np.minimum(np.searchsorted(codes, flat.fill_null(0).to_numpy().view(np.uint64)), len(codes) - 1)].astype(kind)
+            x[null] = number.max() + 1
+            ends = np.r_[0, np.cumsum(pc.list_value_length(rb.column(2)).to_numpy())] * x.itemsize
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.Array.from_buffers(pa.binary(), rb.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(x)])], ["video_id", "d", "codes"])
+
+    return rows
+
+
+def block_of(kind):
+    """Rows (i, d, size, codes, many, ids) of packed units in order of size; i is the number of the task."""
+
+    def block(held):
+        d, codes, ids = (pa.concat_arrays([rb.column(k) for rb in held]) for k in range(3))
+        size = pc.binary_length(codes).to_numpy().astype(np.int64) // np.dtype(kind).itemsize
+        many = pc.list_value_length(ids).to_numpy().astype(np.int64)
+        order = np.argsort(size, kind="stable")
+        codes, ids = np.frombuffer(b"".join(codes.to_pylist()), kind), ids.flatten().to_numpy()
+        ordered = lambda x, k: x[ranges((np.cumsum(k) - k)[order], k[order])]
+        row = (d.to_numpy()[order], size[order], ordered(codes, size), many[order], ordered(ids, many))
+        cols = [pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in row)]
+        return pa.RecordBatch.from_arrays(cols, ["i", "d", "size", "codes", "many", "ids"])
+
+    def rows(batches):
+        held, n = [], 0
+        for rb in batches:
+            held.append(rb)
+            n += pc.sum(pc.binary_length(rb.column(1))).as_py() or 0
+            if n >= FRAMES:
+                yield block(held)
+                held, n = [], 0
+        if sum(rb.num_rows for rb in held):
+            yield block(held)
+
+    return rows
+
+
+def product_rows(run, kind, strict: bool):
+    """Pairs of members of rows of two blocks; run(one, two) gives places in the two, n, start and hits."""
+
+    def side(row):
+        d, size, codes, many, ids = (np.frombuffer(x, t) for x, t in zip(row, (np.float64, np.int64, kind, np.int64, np.int64), strict=True))
+        return {"d": d, "size": size, "first": np.cumsum(size) - size, "codes": codes, "many": many, "at": np.cumsum(many) - many, "ids": ids}
+
+    def rows(batches):
+        for rb in batches:
+            for k in range(rb.num_rows):
+                row = [c[k].as_buffer() for c in rb.columns]
+                one, two = side(row[:5]), side(row[5:])
+                for found in run(one, two):
+                    yield from member_pairs(one, two, *found, strict=strict)
+
+    return rows
 
 
 def best_alignments(a: np.ndarray, b: np.ndarray, fa: np.ndarray, fb: np.ndarray, n: np.ndarray, m: np.ndarray, t: int, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,6 +366,22 @@ def packed(side: list) -> dict[str, np.ndarray]:
     return {"x": x[order], "d": d[order], "size": size[order], "first": starts(size), "codes": codes, "many": many[order], "at": starts(many), "ids": ids}
 
 
+def member_pairs(one: dict, two: dict, p: np.ndarray, q: np.ndarray, *more: np.ndarray, strict: bool = False):
+    """Batches of the pairs of members of units. Of one duration, the lesser id is the shorter one; strict: such pairs go."""
+    lo, total = 0, np.cumsum(one["many"][p] * two["many"][q])
+    while lo < len(p):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + OUT, "right")))
+        a, b = p[lo:hi], q[lo:hi]
+        size = one["many"][a] * two["many"][b]
+        k, row = ranges(np.zeros(hi - lo, np.int64), size), np.repeat(np.arange(hi - lo), size)
+        wide = two["many"][b][row]
+        x, y = one["ids"][one["at"][a][row] + k // wide], two["ids"][two["at"][b][row] + k % wide]
+        on = np.flatnonzero((one["d"][a] < two["d"][b])[row] | (not strict) & (one["d"][a] == two["d"][b])[row] & (x < y))
+        row = row[on]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x[on], y[on], one["d"][a][row], two["d"][b][row], *(c[lo:hi][row] for c in more))], ["short_id", "long_id", "short_duration", "long_duration", "n", "start", "hits"])
+        lo = hi
+
+
 def block_rows(run):
     """Pairs of members of rows (i, j, kind, x, y, d, codes, ids) that come sorted by block pair and kind: shorter units, longer ones, pairs of them.
 
@@ -262,20 +392,6 @@ def block_rows(run):
     def flat(c, kind):
         return pc.list_value_length(c).to_numpy().astype(np.int64), c.flatten().to_numpy().view(kind)
 
-    def members(one, two, p, q, *more):
-        lo, total = 0, np.cumsum(one["many"][p] * two["many"][q])
-        while lo < len(p):
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + OUT, "right")))
-            a, b = p[lo:hi], q[lo:hi]
-            size = one["many"][a] * two["many"][b]
-            k, row = ranges(np.zeros(hi - lo, np.int64), size), np.repeat(np.arange(hi - lo), size)
-            wide = two["many"][b][row]
-            x, y = one["ids"][one["at"][a][row] + k // wide], two["ids"][two["at"][b][row] + k % wide]
-            on = np.flatnonzero((one["d"][a] < two["d"][b])[row] | (one["d"][a] == two["d"][b])[row] & (x < y))
-            row = row[on]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x[on], y[on], one["d"][a][row], two["d"][b][row], *(c[lo:hi][row] for c in more))], ["short_id", "long_id", "short_duration", "long_duration", "n", "start", "hits"])
-            lo = hi
-
     def rows(batches):
         key, sides, ready = None, ([], []), None
         for rb in batches:
@@ -292,7 +408,7 @@ def block_rows(run):
                 if ready is None:
                     ready = [packed(side) for side in sides]
                 one, two = ready
-                yield from members(one, two, *run(one, two, np.searchsorted(one["x"], x), np.searchsorted(two["x"], part.column(4).to_numpy())))
+                yield from member_pairs(one, two, *run(one, two, np.searchsorted(one["x"], x), np.searchsorted(two["x"], part.column(4).to_numpy())))
 
     return rows
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echoseq.functions import hashing, paths
-from echoseq.operators import graph, hamming_join, match, organise, reconcile, tables
+from echoseq.operators import graph, hamming_join, match, organise, planes, reconcile, tables
 from echoseq.scratch import Scratch
 from echoseq.sources import decode, frames
 
@@ -348,3 +348,60 @@ def test_near_codes_of_one_reader_are_not_written(spark, videos):
     f = frames_df(spark, videos)
     for pairs in (hamming_join.candidate_pairs(f, 10), hamming_join.knn_candidate_pairs(f, 10), hamming_join.frame_pairs(f, 10)):
         assert not [x for x in pairs.inputFiles() if "-near" in x]
+
+
+@pytest.mark.parametrize("length", [6, 70, 150, 300])
+@pytest.mark.parametrize("step", [1, 3])
+@pytest.mark.parametrize("least", [0.1, 0.4, 0.8])
+def test_alignments_on_bit_planes(length, step, least, monkeypatch):
+    """Words of 64 frames, tiles, chunks and held alignments of a few; null (one more than the last number) agrees with nothing."""
+    for name, value in (("GRID", 2000), ("AT_ONCE", 50), ("HELD", 40)):
+        monkeypatch.setattr(planes, name, value)
+    r = random.Random(length)
+    size = sorted(r.randint(max(1, length - 70), length) for _ in range(14)) + [length + 140]
+    videos = [[r.choice([1, 1, 2, 3, 4]) for _ in range(n)] for n in size]
+    videos[3], videos[5] = videos[2] + [2] * (size[3] - size[2]), [4] * size[5]
+    n = np.array(size, np.int64)
+    side = {"d": n.astype(float), "size": n, "first": np.cumsum(n) - n, "codes": np.array(sum(videos, []), np.uint8)}
+    want = {}
+    for p, x in enumerate(videos):
+        for q, y in enumerate(videos):
+            hits = [(sum(a == b < 4 for a, b in zip(x, y[s:], strict=False)), -s) for s in range(0, len(y) - len(x) + 1, step)]
+            if hits and max(hits)[0] / len(x) >= least and len(x) >= 3:
+                want[p, q] = (len(x), -max(hits)[1], max(hits)[0])
+    got = [(p, q, *more) for x in planes.best_of_all(3, step, least, 3.0)(side, side) for p, q, *more in zip(*x, strict=True)]
+    assert len(got) == len(want) and {(p, q): tuple(more) for p, q, *more in got} == want
+
+
+def test_codes_within_the_threshold_get_one_number():
+    assert planes.numbers(np.array([0, 1, 3, 1 << 40], np.uint64), 0).tolist() == [1, 2, 3, 4]
+    assert planes.numbers(np.array([0, 1, 3, 255 << 40], np.uint64), 2).tolist() == [1, 1, 1, 2]
+    assert planes.numbers(np.array([0, 1, 3], np.uint64), 1) is None
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_sequences_of_few_codes_make_no_pairs(spark, strict, monkeypatch):
+    """Five codes, two of them near one another: all pairs are compared in blocks, none is written or shuffled; null agrees with nothing."""
+    monkeypatch.setattr(match, "MEMBERS", 4)
+    monkeypatch.setattr(match, "OUT", 7)
+    r = random.Random(8)
+    codes = [0, 3, *(r.getrandbits(64) for _ in range(3))]
+    videos = {k: [r.choice(codes) for _ in range(r.randint(8, 90))] for k in range(40)} | {k: [codes[2], codes[3]] * 6 for k in range(50, 60)}
+    videos |= {60: videos[1], 61: videos[1][:-2], 62: [codes[4]] * 9 + [None], 63: [None] + [codes[4]] * 9}
+    rows = [(v, i, h if h is None else signed(h)) for v, hs in videos.items() for i, h in enumerate(hs)]
+    f = Scratch(spark, "test").table(spark.createDataFrame(rows, "video_id long, frame_idx long, h long"), "frames")
+    v = spark.createDataFrame([(i, float(len(h)), len(h)) for i, h in videos.items()], "id long, duration double, n_frames long")
+    best = lambda s, g: max(sum(None not in (a, b) and distance(a, b) <= 2 for a, b in zip(s, g[k:], strict=False)) for k in range(len(g) - len(s) + 1)) / len(s)
+    want = {}
+    for a, b in ((a, b) for a in videos for b in videos if a < b):
+        s, g = (a, b) if len(videos[a]) <= len(videos[b]) else (b, a)
+        if len(videos[s]) >= 10 and not (strict and len(videos[s]) == len(videos[g])) and (c := best(videos[s], videos[g])) >= 0.5:
+            want[s, g] = c
+    p = match.MatchParams(filter_length=strict, frame_step=1, threshold=2, min_confidence=0.5)
+    found = match.matches(f, v, p)
+    got = [(x.short_id, x.long_id, x.confidence) for x in found.collect()]
+    assert len(got) == len(want) > 60 and {(a, b): c for a, b, c in got} == want
+    assert not [x for x in found.inputFiles() if "-pairs" in x]
+    assert "Cartesian" in found._jdf.queryExecution().executedPlan().toString()
+    both = [(x.a, x.b) for x in match.candidates(f, v, p).collect()]
+    assert len(both) == len(set(both)) and set(both) >= {(min(x), max(x)) for x in want}
