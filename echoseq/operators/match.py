@@ -19,8 +19,8 @@ from .hamming_join import density, flagged_pairs, frame_pairs, near_codes, range
 BLOCK_BYTES, ALIGNMENTS, COMPARED = 1 << 26, 1 << 17, 1 << 19
 #: Videos of a class that one row holds, and pairs of videos of a batch of results.
 MEMBERS, OUT = 256, 1 << 16
-#: Frames of a block of videos that meets all other blocks, and blocks a core at least.
-FRAMES, BLOCKS = 1 << 22, 4
+#: Frames of a large block of videos, and small blocks a core at least.
+FRAMES, BLOCKS = 1 << 22, 8
 FOUND = "short_id long, long_id long, short_duration double, long_duration double, n long, start long, hits long"
 
 
@@ -232,17 +232,21 @@ def units_of(members: DataFrame) -> DataFrame:
 
 
 def all_in_blocks(classes: DataFrame, members: DataFrame, few: tuple[np.ndarray, np.ndarray], run, scratch: Scratch, strict: bool) -> DataFrame:
-    """What `run` makes of all pairs of classes of few codes: packed blocks of videos, written once, meet in a product that shuffles no pairs.
+    """What `run` makes of all pairs of classes of few codes: small blocks of videos meet large ones in a product that shuffles no pairs.
 
     strict: only of different durations."""
     kind = np.uint8 if few[1].max() < 255 else np.uint16
-    n = BLOCKS * classes.sparkSession.sparkContext.defaultParallelism
+    frames = classes.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()[0]
     own = classes.mapInArrow(numbered_rows(*few, kind), "video_id long, d double, codes binary")
-    own = own.join(units_of(members).withColumnRenamed("rep", "video_id"), "video_id").select("d", "codes", "ids")
+    own = scratch.table(own.join(units_of(members).withColumnRenamed("rep", "video_id"), "video_id").select("d", "codes", "ids"), "units")
     names = ("d", "size", "codes", "many", "ids")
-    blocks = scratch.table(own.repartition(n).mapInArrow(block_of(kind), "i int, " + ", ".join(f"{c} binary" for c in names)), "blocks")
-    one = blocks.repartitionById(n, F.col("i")).select(*(F.col(c).alias(f"{c}_1") for c in names))
-    two = blocks.select(*(F.col(c).alias(f"{c}_2") for c in names)).hint("shuffle_replicate_nl")
+    schema = "i int, " + ", ".join(f"{c} binary" for c in names)
+    large = max(1, -(-frames // FRAMES))
+    small = max(large, BLOCKS * classes.sparkSession.sparkContext.defaultParallelism)
+    blocks = [scratch.table(own.repartition(n).mapInArrow(block_of(kind), schema), "blocks") for n in (small, large)]
+    scratch.drop(own)
+    one = blocks[0].repartitionById(small, F.col("i")).select(*(F.col(c).alias(f"{c}_1") for c in names))
+    two = blocks[1].select(*(F.col(c).alias(f"{c}_2") for c in names)).hint("shuffle_replicate_nl")
     return one.crossJoin(two).mapInArrow(product_rows(run, kind, strict), FOUND)
 
 
@@ -280,7 +284,7 @@ def block_of(kind):
         for rb in batches:
             held.append(rb)
             n += pc.sum(pc.binary_length(rb.column(1))).as_py() or 0
-            if n >= FRAMES:
+            if n >= 2 * FRAMES:
                 yield block(held)
                 held, n = [], 0
         if sum(rb.num_rows for rb in held):

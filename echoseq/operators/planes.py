@@ -68,7 +68,7 @@ def shifted(two: np.ndarray, s: int, words: int) -> np.ndarray:
 
 
 def apart(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """x: the frames of a word (bits, rows, 1) and (bits, 1, columns) that differ in any plane."""
+    """x: the frames of words (bits, words, rows, 1) and (bits, words, 1, columns) that differ in any plane."""
     np.bitwise_xor(a[0], b[0], out=x)
     for k in range(1, len(a)):
         np.bitwise_xor(a[k], b[k], out=y)
@@ -124,26 +124,28 @@ def fewest(n: int, least: float) -> int:
 
 def reach(a, b, w: int, may: int, cap: np.ndarray, x, y, z) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, hits above the fewest) where at most cap (of a column) frames differ. Before the last word at most `may` do."""
-    shape = (a.shape[2], b.shape[2])
-    size = shape[0] * shape[1]
-    x, y, z = x[:size].reshape(shape), y[:size].reshape(shape), z[:size].reshape(shape)
-    total = np.zeros(shape, np.int32) if w > 3 else None
-    for k in range(w):
-        got = np.bitwise_count(apart(a[:, k, :, None], b[:, k, None, :], x, y), out=z)
-        if w > 1:
-            total = got.copy() if total is None else np.add(total, got, out=total)
-        else:
-            total = got
-        if k + 1 < w and 64 * (k + 1) > may:
-            on = total <= may
+    tall, wide = a.shape[2], b.shape[2]
+    size, k, total = tall * wide, 0, None
+    while k < w:
+        # As many words as there is room for, but looked at as soon as they may settle it.
+        end = min(w, k + max(1, min(len(x) // size, may // 64 + 1)))
+        shape = (end - k, tall, wide)
+        held = [v[: (end - k) * size].reshape(shape) for v in (x, y, z)]
+        got = np.bitwise_count(apart(a[:, k:end, :, None], b[:, k:end, None, :], *held[:2]), out=held[2])
+        got = got[0] if end - k == 1 else got.sum(axis=0, dtype=np.uint8 if w <= 3 else np.int32)
+        total = got if k == 0 and end == w else got.astype(np.uint8 if w <= 3 else np.int32) if total is None else np.add(total, got, out=total)
+        k = end
+        if k < w and 64 * k > may:
+            on = (total <= may).ravel()
             if np.count_nonzero(on) * FEW <= size:
-                p, q = np.nonzero(on)
+                p, q = np.divmod(np.flatnonzero(on), wide)
                 left = total[p, q].astype(np.int64)
-                for more in range(k + 1, w):
+                for more in range(k, w):
                     left += np.bitwise_count(np.bitwise_or.reduce(a[:, more, p] ^ b[:, more, q], axis=0))
                 on = np.flatnonzero(left <= cap[q])
                 return p[on], q[on], cap[q[on]] - left[on]
-    p, q = np.nonzero(total <= (cap.astype(np.uint8) if w <= 3 else cap))
+    # Flat, as numpy skips what is false there.
+    p, q = np.divmod(np.flatnonzero((total <= cap.astype(total.dtype)).ravel()), wide)
     return p, q, cap[q] - total[p, q]
 
 
