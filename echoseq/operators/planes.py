@@ -12,7 +12,7 @@ import numpy as np
 from .hamming_join import ranges
 
 #: Most codes that are numbered, cells of a grid of frames, words compared at once, and found alignments held before the best are picked.
-CODES, GRID, AT_ONCE, HELD = 1 << 12, 1 << 23, 1 << 15, 1 << 20
+CODES, GRID, AT_ONCE, HELD = 1 << 12, 1 << 23, 1 << 17, 1 << 20
 #: One in so many alignments left: their other words are looked up one by one.
 FEW = 16
 
