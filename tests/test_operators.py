@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echoseq.functions import hashing, paths
-from echoseq.operators import graph, hamming_join, match, organise, planes, reconcile, tables
+from echoseq.operators import graph, hamming_join, match, organise, pair_blocks, planes, reconcile, tables
 from echoseq.scratch import Scratch
 from echoseq.sources import decode, frames
 
@@ -405,3 +405,33 @@ def test_sequences_of_few_codes_make_no_pairs(spark, strict, monkeypatch):
     assert "Cartesian" in found._jdf.queryExecution().executedPlan().toString()
     both = [(x.a, x.b) for x in match.candidates(f, v, p).collect()]
     assert len(both) == len(set(both)) and set(both) >= {(min(x), max(x)) for x in want}
+
+
+@pytest.fixture
+def near_videos(spark, monkeypatch):
+    """Videos over several blocks: with frames that all share, repeated frames and a null one. (frames, videos, frame pairs, durations)."""
+    monkeypatch.setattr(pair_blocks, "LARGE", 150)
+    monkeypatch.setattr(pair_blocks, "SMALL", 40)
+    monkeypatch.setattr(pair_blocks, "LEAST", 20)
+    r = random.Random(3)
+    pool = [r.getrandbits(64) for _ in range(60)]
+    vs = {v: [flipped(r.choice(pool), r.choice((0, 3, 6)), r) if r.random() < 0.7 else r.choice((7, pool[0])) for _ in range(r.randrange(1, 14))] for v in r.sample(range(-40, 200), 60)}
+    f = frames_df(spark, vs)
+    f = f.unionByName(f.limit(1).selectExpr("video_id", "99L as frame_idx", "99.0D as timestamp", "phash", "cast(null as long) as h"))
+    found = [(a, i, b, j) for a in vs for b in vs if a < b for i, x in enumerate(vs[a]) for j, y in enumerate(vs[b]) if distance(x, y) <= 10]
+    d = {v: float(len(x) // 2) for v, x in vs.items()}
+    v = spark.createDataFrame([(k, d[k], len(x)) for k, x in vs.items()], "id long, duration double, n_frames long")
+    return f, v, found, d
+
+
+def shuffles(df):
+    """Exchanges of a plan, and of what it makes after its last Python stage."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return plan.split("MapInArrow")[0].count("Exchange")
+
+
+def test_candidate_pairs_in_blocks(spark, near_videos):
+    f, _, found, _ = near_videos
+    got = hamming_join.candidate_pairs(f, 10)
+    assert shuffles(got) == 0
+    assert sorted(map(tuple, got.collect())) == sorted({(a, b) for a, _, b, _ in found})
