@@ -435,3 +435,10 @@ def test_candidate_pairs_in_blocks(spark, near_videos):
     got = hamming_join.candidate_pairs(f, 10)
     assert shuffles(got) == 0
     assert sorted(map(tuple, got.collect())) == sorted({(a, b) for a, _, b, _ in found})
+
+
+def test_frame_pairs_in_blocks(spark, near_videos):
+    f, _, found, _ = near_videos
+    got = hamming_join.frame_pairs(f, 10)
+    assert shuffles(got) == 0 and "Join" not in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert sorted((r.va, r.ia, r.vb, r.ib) for r in got.collect()) == sorted(found)
