@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from . import planes
+from . import pair_blocks, planes
 from .hamming_join import density, flagged_pairs, frame_pairs, near_codes, ranges, spread_join
 
 #: Bytes of codes of a block of videos; alignments, and frames of them, that a task compares at once.
@@ -501,6 +501,14 @@ def scored(counts: DataFrame, videos: DataFrame) -> DataFrame:
     return orient(top, videos).withColumn("confidence", F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0)))
 
 
+def best_diagonals(frames: DataFrame, videos: DataFrame, threshold: int, step: int) -> DataFrame:
+    """short_id, long_id, short_duration, long_duration, n, start, hits, confidence: as `scored` of `diagonals`, counted in blocks of videos, so
+    neither frame pairs nor diagonals are written or shuffled."""
+    v = videos.select("id", duration().alias("d"), "n_frames")
+    found = pair_blocks.pairs_of_blocks(frames, threshold, pair_blocks.scored_rows(step), pair_blocks.SCORED, v)
+    return found.withColumn("confidence", F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0)))
+
+
 def compare(frames: DataFrame, videos: DataFrame, p: MatchParams, comparisons: DataFrame | None = None) -> DataFrame:
     """Eligible pairs with a confidence. Gates come before the frame pairs are scored."""
     where = f"least(d_a, d_b) >= {float(p.window)!r}" + (" and d_a <> d_b" if p.filter_length else "")

@@ -442,3 +442,22 @@ def test_frame_pairs_in_blocks(spark, near_videos):
     got = hamming_join.frame_pairs(f, 10)
     assert shuffles(got) == 0 and "Join" not in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
     assert sorted((r.va, r.ia, r.vb, r.ib) for r in got.collect()) == sorted(found)
+
+
+@pytest.mark.parametrize("step", [1])
+def test_best_diagonals_in_blocks(spark, near_videos, step):
+    f, v, found, d = near_videos
+    n, hits = {r.id: r.n_frames for r in v.collect()}, {}
+    for a, i, b, j in found:
+        short, long, s = (a, b, j - i) if d[a] <= d[b] else (b, a, i - j)
+        at = hits.setdefault((short, long), {})
+        if 0 <= s <= n[long] - n[short] and s % step == 0:
+            at[s] = at.get(s, 0) + 1
+    want = []
+    for (short, long), at in hits.items():
+        best = min(at.items(), key=lambda x: (-x[1], x[0]), default=(None, None))
+        want.append((short, long, best[0], best[1], (best[1] or 0) / n[short]))
+    got = match.best_diagonals(f, v, 10, step)
+    assert shuffles(got) == 0
+    key = lambda x: x[:2]
+    assert sorted(((r.short_id, r.long_id, r.start, r.hits, r.confidence) for r in got.collect()), key=key) == sorted(want, key=key)
