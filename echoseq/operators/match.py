@@ -75,8 +75,11 @@ def match_type(short: str = "short_duration", long: str = "long_duration") -> Co
     return F.when(F.col(long) == 0, "duplicate").when(F.col(short) / F.col(long) >= 0.95, "duplicate").otherwise("subclip")
 
 
-def uncompared(pairs: DataFrame, comparisons: DataFrame) -> DataFrame:
-    """Pairs (a, b) that no comparison has recorded, in either order."""
+def uncompared(pairs: DataFrame, comparisons: DataFrame | Column) -> DataFrame:
+    """Pairs (a, b) that no comparison has recorded, in either order. Where a rule on a and b tells which of the pairs are recorded, no table of
+    them is needed, and nothing is shuffled."""
+    if isinstance(comparisons, Column):
+        return pairs.where(~F.coalesce(comparisons, F.lit(False)))
     done = comparisons.select(F.least("video_a_id", "video_b_id").alias("a"), F.greatest("video_a_id", "video_b_id").alias("b"))
     return pairs.join(done, ["a", "b"], "left_anti")
 

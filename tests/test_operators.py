@@ -470,3 +470,10 @@ def test_candidate_pairs_without_known_ones(spark, near_videos):
     got = hamming_join.candidate_pairs(f, 10, spark.createDataFrame([*gone, (None, 3)], "a long, b long"))
     assert shuffles(got) == 0
     assert sorted(map(tuple, got.collect())) == sorted(set(want) - set(gone))
+
+
+def test_uncompared_by_a_rule(spark, near_videos):
+    f, _, found, _ = near_videos
+    got = match.uncompared(hamming_join.candidate_pairs(f, 10), F.expr("(a + b) % 4 = 0"))
+    assert shuffles(got) == 0
+    assert sorted(map(tuple, got.collect())) == sorted({(a, b) for a, _, b, _ in found if (a + b) % 4})
