@@ -86,8 +86,14 @@ def uncompared(pairs: DataFrame, comparisons: DataFrame | Column) -> DataFrame:
 
 def gate(oriented: DataFrame, p: MatchParams) -> tuple[DataFrame, DataFrame]:
     """(eligible, too short). With filter_length, equal durations are in neither."""
+    both = split(oriented, p)
+    return both.where("not too_short").drop("too_short"), both.where("too_short").drop("too_short")
+
+
+def split(oriented: DataFrame, p: MatchParams) -> DataFrame:
+    """The pairs that pass filter_length, with too_short: what `gate` parts, read once."""
     kept = oriented.where("short_duration <> long_duration") if p.filter_length else oriented
-    return kept.where(F.col("short_duration") >= p.window), kept.where(F.col("short_duration") < p.window)
+    return kept.withColumn("too_short", F.col("short_duration") < p.window)
 
 
 def matches(frames: DataFrame, videos: DataFrame, p: MatchParams, comparisons: DataFrame | None = None) -> DataFrame:
@@ -512,6 +518,15 @@ def best_diagonals(frames: DataFrame, videos: DataFrame, threshold: int, step: i
     return found.withColumn("confidence", F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0)))
 
 
+def oriented_candidates(frames: DataFrame, videos: DataFrame, threshold: int) -> DataFrame:
+    """short_id, long_id, short_duration, long_duration of the candidate pairs, as `orient` gives them. Durations travel with the blocks, so pairs meet no other table."""
+    v = videos.select("id", duration().alias("d"), "n_frames")
+    found = pair_blocks.pairs_of_blocks(frames, threshold, pair_blocks.candidate_rows(True), "a long, b long, d_a double, d_b double", v)
+    s = F.col("d_a") <= F.col("d_b")
+    pick = lambda x, y, name: F.when(s, F.col(x)).otherwise(F.col(y)).alias(name)
+    return found.select(pick("a", "b", "short_id"), pick("b", "a", "long_id"), pick("d_a", "d_b", "short_duration"), pick("d_b", "d_a", "long_duration"))
+
+
 def compare(frames: DataFrame, videos: DataFrame, p: MatchParams, comparisons: DataFrame | None = None) -> DataFrame:
     """Eligible pairs with a confidence. Gates come before the frame pairs are scored."""
     where = f"least(d_a, d_b) >= {float(p.window)!r}" + (" and d_a <> d_b" if p.filter_length else "")

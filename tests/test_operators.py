@@ -477,3 +477,11 @@ def test_uncompared_by_a_rule(spark, near_videos):
     got = match.uncompared(hamming_join.candidate_pairs(f, 10), F.expr("(a + b) % 4 = 0"))
     assert shuffles(got) == 0
     assert sorted(map(tuple, got.collect())) == sorted({(a, b) for a, _, b, _ in found if (a + b) % 4})
+
+
+def test_too_short_split_in_blocks(spark, near_videos):
+    f, v, found, d = near_videos
+    got = match.split(match.oriented_candidates(f, v, 10), match.MatchParams(window=3.0))
+    assert shuffles(got) == 0
+    want = {(a, b, d[a] < 3) if d[a] <= d[b] else (b, a, d[b] < 3) for a, _, b, _ in found}
+    assert sorted((r.short_id, r.long_id, r.too_short) for r in got.collect()) == sorted(want)
