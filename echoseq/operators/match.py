@@ -96,7 +96,7 @@ def split(oriented: DataFrame, p: MatchParams) -> DataFrame:
     return kept.withColumn("too_short", F.col("short_duration") < p.window)
 
 
-def matches(frames: DataFrame, videos: DataFrame, p: MatchParams, comparisons: DataFrame | None = None) -> DataFrame:
+def matches(frames: DataFrame, videos: DataFrame, p: MatchParams, comparisons: DataFrame | Column | None = None) -> DataFrame:
     """short_id, long_id, match_type, confidence. `frames` must be a written table: it is read several times.
 
     Videos of equal codes and duration are compared as one; neither near codes nor alignments nor matches are written or shuffled,

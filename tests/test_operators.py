@@ -485,3 +485,13 @@ def test_too_short_split_in_blocks(spark, near_videos):
     assert shuffles(got) == 0
     want = {(a, b, d[a] < 3) if d[a] <= d[b] else (b, a, d[b] < 3) for a, _, b, _ in found}
     assert sorted((r.short_id, r.long_id, r.too_short) for r in got.collect()) == sorted(want)
+
+
+def test_matches_without_pairs_of_a_rule(spark, videos):
+    f = frames_df(spark, videos)
+    v = Scratch(spark, "test").table(frames.videos_of(f), "videos")
+    p = match.MatchParams(frame_step=1, window=0.0)
+    rows = lambda x: sorted(tuple(r) for r in x.collect())
+    every, left = rows(match.matches(f, v, p)), match.matches(f, v, p, F.expr("(a + b) % 4 = 0"))
+    assert shuffles(left) == 0
+    assert 0 < len(rows(left)) < len(every) and rows(left) == [r for r in every if (r[0] + r[1]) % 4]
